@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, langid, packing, quality_net, webp
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op5_webp": webp.op5_webp,
     "op7_packing": packing.op7_packing,
+    "op8_language": langid.op8_language,
+    "op9_quality": quality_net.op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
