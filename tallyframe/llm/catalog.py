@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, quality_net, webp
+from . import bpe, chat, langid, packing, quality_net, quality_rules, webp
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op3_bpe": bpe.op3_bpe,
     "op5_webp": webp.op5_webp,
+    "op6_rules": quality_rules.op6_rules,
     "op7_packing": packing.op7_packing,
     "op8_language": langid.op8_language,
     "op9_quality": quality_net.op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": chat.OP1_SQL,
+}

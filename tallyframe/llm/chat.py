@@ -135,7 +135,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH t AS (SELECT *, length(text) AS n, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), w -> w <> '')) AS words FROM conversations),
+WITH t AS (SELECT *, length(text) AS n, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations),
 c0 AS (
   SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, text, words,
     CASE WHEN n < 200 THEN 'search' WHEN n < 900 THEN 'summarise' ELSE 'translate' END AS name,
