@@ -9,18 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word contracts: space and U+0009 to U+000D.
-WORD_SPACE = "\\x20\\x09-\\x0D"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,10 +65,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def crc_of(value) -> int:
-    return zlib.crc32(("" if value is None else str(value)).encode())
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` over every Arrow batch; nothing is kept between batches except what ``fn`` itself memoises."""
 
@@ -84,7 +74,3 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
-
-
-def ascii_lower(column: Column | str) -> Column:
-    return F.translate(column, UPPER, LOWER)

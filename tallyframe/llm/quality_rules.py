@@ -33,8 +33,8 @@ WINDOW = 8
 COMMON_SHARE, LANGUAGE_SHARE = 1 / 250, 1 / 500
 #: Longer words are never counted as common.
 COMMON_BYTES = 10
-MIN_WORDS, MIN_CHARS = 50, 200
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.5
+MIN_WORDS, MIN_CHARS = 120, 200
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.25
 #: Removed one after another; what is left is the last class.
 CLASSES = (
     ("space", SPACE), ("consonant", "[b-df-hj-np-tv-z]+"), ("vowel", "[aeiou]+"), ("letter", r"[^\x00-\x7F]+"), ("upper", "[A-Z]+"),
@@ -94,13 +94,6 @@ def features(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     )
 
 
-class References:
-    """Per language: the class histogram; the histogram over the common words of all languages, then all others."""
-
-    def __init__(self, languages: list[str], words: list[str], word_shares: list[list[float]], class_shares: list[list[float]]):
-        self.languages, self.words, self.word_shares, self.class_shares = languages, words, word_shares, class_shares
-
-
 def common_words(df: DataFrame, text_col: str, lang_col: str) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
     """Words per language, and the counts of (language, word) from ``COMMON_SHARE`` on."""
     own = df.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), words_of(F.col(text_col)).alias("_words"))
