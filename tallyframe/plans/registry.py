@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import q_analytics, q_relational
+
+QUERIES: dict = {**q_relational.QUERIES, **q_analytics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**q_relational.ORACLE_SQL, **q_analytics.ORACLE_SQL}
