@@ -36,8 +36,8 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16)).first()[0]
         line = bytes(raw).split(b"\n")[0]
         try:
-            line.decode("utf-8-sig")
-            bytes(raw)[: len(raw) - 4].decode("utf-8")
+            # a sample that is cut may end within a character
+            bytes(raw)[: len(raw) - (4 if len(raw) == 1 << 16 else 0)].decode("utf-8")
             encoding = "utf-8"
         except UnicodeDecodeError:
             encoding = "iso-8859-1"
