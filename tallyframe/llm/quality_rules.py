@@ -77,10 +77,11 @@ def features(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     """Id, language, words and the counts that need one pass over the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), text.alias("_text"), words_of(F.col(text_col)).alias("_words"))
-    rest, lengths = F.col("_text"), [F.length("_text")]
-    for _, pattern in CLASSES:
-        rest = F.regexp_replace(rest, pattern, "")
-        lengths.append(F.length(rest))
+    # one projection per step: each removal is used twice and computed once
+    out = out.withColumn("_rest0", F.col("_text"))
+    for k, (_, pattern) in enumerate(CLASSES):
+        out = out.select("*", F.regexp_replace(f"_rest{k}", pattern, "").alias(f"_rest{k + 1}"))
+    lengths = [F.length(f"_rest{k}") for k in range(len(CLASSES) + 1)]
     counts = [*(lengths[k] - lengths[k + 1] for k in range(len(CLASSES))), lengths[-1]]
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     return out.select(
