@@ -54,6 +54,22 @@ def path_get(value: Any, path: str) -> Any:
     return value
 
 
+def project(value: Any, fields: list[str]) -> Any:
+    """The configured fields, by dotted path; missing ones are left out, error objects and an empty list pass everything."""
+    if not fields or not isinstance(value, dict) or "erro" in value:
+        return value
+    out: dict[str, Any] = {}
+    for path in fields:
+        found = path_get(value, path)
+        if found is None:
+            continue
+        node, (*parents, last) = out, path.split(".")
+        for key in parents:
+            node = node.setdefault(key, {})
+        node[last] = found
+    return out
+
+
 def count_keys(value: Any) -> int:
     if isinstance(value, dict):
         return len(value) + sum(map(count_keys, value.values()))

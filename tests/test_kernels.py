@@ -143,3 +143,32 @@ def test_splits_arithmetic():
 def test_windows():
     assert similarity.windows(10, 4, 0.25) == [(0, 4), (3, 7), (6, 10)]
     assert similarity.windows(3, 4, 0.5) == [(0, 3)] and similarity.windows(0, 4, 0.5) == []
+
+
+def test_windowed_scores():
+    score = lambda p, t: similarity._prf(len(set(p) & set(t)), len(set(p)), len(set(t)))
+    assert similarity.windowed_score(list("abc"), list("abc"), score, 8, 0.5) == (1, 1, 1)
+    long = [str(i) for i in range(20)]
+    assert similarity.windowed_score(long, long, score, 8, 0.5) == (1, 1, 1)
+    p, r, _ = similarity.windowed_score(long, long[:8], score, 8, 0.5)
+    assert 0 < p < 1 and 0 < r < 1
+
+
+def test_projection():
+    value = {"a": {"b": 1, "c": 2}, "d": [{"e": 1}, {"e": 2}], "f": None}
+    assert jsontext.project(value, ["a.b", "d.e", "zz"]) == {"a": {"b": 1}, "d": {"e": [1, 2]}}
+    assert jsontext.project(value, []) == value and jsontext.project({"erro": 1, "a": 2}, ["a"]) == {"erro": 1, "a": 2}
+
+
+def test_configuration():
+    from tallyframe.operators import config
+
+    assert config.proportion("0.7, 0.2") == [0.7, 0.2, 0] and config.proportion([{"treino": 1}, {"teste": 2}]) == [1, 0, 2]
+    assert config.parse_filter('{"a": ">1"}') == {"a": ">1"} and config.parse_filter("") is None
+    with pytest.raises(ValueError):
+        config.parse_filter("a > 1")
+    stages = config.build_stages([{"alias": "x", "arquivo": "f"}, {"proporcao": "0.5,0.5"}])
+    assert [s.alias for s in stages] == ["x", "etapa_2"] and stages[1].share == [0.5, 0.5, 0]
+    with pytest.raises(ValueError):
+        config.unique_labels(["a", "b", "a"])
+    assert config.config_hash({"a": 1, "b": 2}) == config.config_hash({"b": 2, "a": 1})
