@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": chat.OP1_SQL,
+    "op6_rules": quality_rules.OP6_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
 }

@@ -181,4 +181,44 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(table(spark, sf_dir, "documents"))
+    found = assess(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
+
+
+def _sql_term(p: str, q: str) -> str:
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"(({part(p)}) + ({part(q)})) / 2"
+
+
+def _sql() -> str:
+    k = len(CLASSES)
+    rests = ", ".join(f"regexp_replace(r{i}, '{pattern}', '', 'g') AS r{i + 1}" for i, (_, pattern) in enumerate(CLASSES))
+    counts = [*(f"length(r{i}) - length(r{i + 1})" for i in range(k)), f"length(r{k})"]
+    names = [f"k{i}" for i in range(k + 1)]
+    total = lambda prefix: "(" + " + ".join(f"{prefix}{n}" for n in names) + ")"
+    divergence = " + ".join(_sql_term(f"(d.{n} / greatest({total('d.')}, 1))", f"(c.{n} / greatest({total('c.')}, 1))") for n in names)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS r0, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT *, {rests}, list_filter(string_split(r0, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+d AS (SELECT rid, doc_id, lang, w, len(w) AS n, length(r1) AS word_chars, length(r0) - length(regexp_replace(r0, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  length(r0) AS n_chars, {", ".join(f"{c} AS {n}" for c, n in zip(counts, names))} FROM m),
+g AS (SELECT rid, unnest(range(1, n - 6)) AS i, unnest([array_to_string(w[j:j + 7], ' ') FOR j IN range(1, n - 6)]) AS g FROM d WHERE n >= 8),
+dup AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+cov AS (SELECT rid, count(DISTINCT i + k.k) AS n_repeat FROM dup, (SELECT unnest(range(8)) AS k) k GROUP BY rid),
+tot AS (SELECT lang, sum(n) AS total FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n) > 0),
+com AS (SELECT lang, word, count(*) AS c, any_value(total) AS total FROM (SELECT lang, unnest(w) AS word FROM d) JOIN tot USING (lang) WHERE strlen(word) <= {COMMON_BYTES} AND regexp_full_match(word, '[a-z\x{{C0}}-\x{{24F}}]+')
+  GROUP BY 1, 2 HAVING count(*) >= ceil(any_value(total) * {COMMON_SHARE})),
+u AS (SELECT DISTINCT word FROM com),
+dw AS (SELECT rid, word, count(*) AS k FROM (SELECT rid, unnest(w) AS word FROM d) JOIN u USING (word) GROUP BY 1, 2),
+pq AS (SELECT d.rid, tot.lang, coalesce(dw.k, 0) / greatest(d.n, 1) AS p, coalesce(com.c / com.total, 0) AS q FROM d CROSS JOIN tot CROSS JOIN u LEFT JOIN dw ON dw.rid = d.rid AND dw.word = u.word LEFT JOIN com ON com.lang = tot.lang AND com.word = u.word),
+ws AS (SELECT rid, lang, sum({_sql_term("p", "q")}) AS s, greatest(0, 1 - sum(p)) AS p, greatest(0, 1 - sum(q)) AS q FROM pq GROUP BY 1, 2),
+c AS (SELECT lang, {", ".join(f"sum({n}) AS {n}" for n in names)} FROM d WHERE lang IS NOT NULL GROUP BY lang),
+b AS (SELECT d.*, ws.lang AS nearest, sqrt(greatest(0, s + {_sql_term("p", "q")})) AS wd, sqrt(greatest(0, {divergence})) AS cd FROM d JOIN ws USING (rid) JOIN c ON c.lang = ws.lang
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY wd, cd, ws.lang) = 1),
+f AS (SELECT b.*, coalesce(cov.n_repeat, 0) AS n_repeat, n < 20 OR 100 * coalesce(cov.n_repeat, 0) > 30 * n AS base_failed FROM b LEFT JOIN cov USING (rid))
+SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n >= {MIN_WORDS} AND wd > {MAX_WORD_DISTANCE} OR n_chars >= {MIN_CHARS} AND cd > {MAX_CLASS_DISTANCE}) AS kept, round(wd, 6) AS word_distance, round(cd, 6) AS class_distance, nearest
+FROM f"""
+
+
+OP6_SQL = _sql()
