@@ -33,70 +33,84 @@ from .common import table
 
 CAPACITY = 4096
 END_ID = 2
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters and numbers of the tokenizer's classes among the Latin-1 bytes, in lower case; its white space there.
+_LETTER, _NUMBER, _SPACE = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\x09-\x0d\x20\x85\xa0"
+_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTER + rb"]+|[" + _NUMBER + rb"]|[^" + _SPACE + _LETTER + _NUMBER + rb"]+")
 SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class ChunkIds:
-    """Ids of texts by ``tokenizers``; white-space chunks are memoised within a bound.
+class WordIds:
+    """Ids of texts by ``tokenizers``, memoised by word within a bound.
 
-    White space separates the tokenizer's words, so the ids of a text are
-    those of its chunks in a row.
+    The tokenizer's words do not influence each other, so the ids of a text
+    are those of its words in a row.  Texts in Latin-1 are split into words
+    here; all others, and those that may hold added tokens, go to the
+    tokenizer as they are.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    #: Texts whose unknown words are learned together.
+    GROUP = 64
+
+    def __init__(self, path: str, entries: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.entries, self.known, self.old = entries, {}, {}
-
-    def learn(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), 2000):
-            part = chunks[k : k + 2000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-            if (owner < 0).any():  # added tokens have no word
-                for c in part:
-                    self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-            packed, cuts = ids.tobytes(), cuts.tolist()
-            self.known.update((c, packed[cuts[i] : cuts[i + 1]]) for i, c in enumerate(part))
+        self.entries = entries
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # an older generation
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def split(text: str) -> list[bytes] | None:
+        """The words of a Latin-1 text."""
+        if "<|" in text:
+            return None
+        try:
+            return _WORDS.findall(text.lower().encode("latin-1"))
+        except UnicodeEncodeError:
+            return None
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words that the tokenizer leaves whole."""
+        for k in range(0, len(words), 4000):
+            part = words[k : k + 4000]
+            got = self.tokenizer.encode([w.decode("latin-1") for w in part], is_pretokenized=True, add_special_tokens=False)
+            packed = np.array(got.ids, "<u4").tobytes()
+            cuts = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * 4).tolist()
+            self.known.update((w, packed[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            if not text:
-                yield b""
-            elif _ODD_SPACE.search(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                chunks, known = text.split(), self.known
-                try:
-                    yield b"".join(map(known.__getitem__, chunks))
-                except KeyError:
-                    if len(known) >= self.entries:
-                        self.old, self.known = known, {}
-                        known = self.known
-                    lost, old = [], self.old
-                    for c in set(chunks).difference(known):
-                        if (had := old.get(c)) is not None:
-                            known[c] = had
-                        else:
-                            lost.append(c)
-                    self.learn(lost)
-                    yield b"".join(map(known.__getitem__, chunks))
+        for k in range(0, len(texts), self.GROUP):
+            group = [t or "" for t in texts[k : k + self.GROUP]]
+            parts = [self.split(t) for t in group]
+            if len(self.known) >= self.entries:
+                self.old, self.known = self.known, {}
+            known, old, lost = self.known, self.old, []
+            new: set[bytes] = set()
+            for p in parts:
+                if p:
+                    new.update(p)
+            for w in new.difference(known):
+                if (had := old.get(w)) is not None:
+                    known[w] = had
+                else:
+                    lost.append(w)
+            self.learn(lost)
+            for t, p in zip(group, parts):
+                yield self._encode(t) if p is None else b"".join(map(known.__getitem__, p))
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
+def word_ids(path: str) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkIds(path)
+    return WordIds(path)
 
 
 class SumOfSquaresPacker:
@@ -183,7 +197,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = chunk_ids(path), SumOfSquaresPacker(capacity)
+        ids_of, packer = word_ids(path), SumOfSquaresPacker(capacity)
         base = TaskContext.get().partitionId() << 40
         kind, rows = None, []
 
@@ -196,7 +210,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, ids in zip(batch.column(0).to_pylist(), ids_of.texts(x.as_py() for x in batch.column(1))):
+            for key, ids in zip(batch.column(0).to_pylist(), ids_of.texts(batch.column(1).to_pylist())):
                 rows += packer.place(key, ids + end)
                 if len(rows) >= 5000:
                     yield batch_of(rows)

@@ -28,7 +28,7 @@ def _same(reference, text):
     codec = bpe.codec(bpe.default_path())
     assert codec.encode(text) == want
     assert codec.decode(want) == reference.decode(want, skip_special_tokens=False)
-    got = b"".join(packing.ChunkIds(bpe.default_path()).texts([text]))
+    got = b"".join(packing.WordIds(bpe.default_path()).texts([text]))
     assert np.frombuffer(got, "<u4").tolist() == want
 
 
