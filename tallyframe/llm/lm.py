@@ -28,7 +28,6 @@ is in the group of the empty text's checksum; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -47,10 +46,10 @@ END_CLASS = 0
 LISTED = 200_000
 #: Distinct tokens counted at once in a task.
 COUNTED = 200_000
-NOISE, BATCH = 64, 2048
+NOISE, BATCH = 32, 2048
 #: No word holds white space, so this is no word.
 END = b" "
-_TAIL = re.compile(rb"^(.*?)([^\w\x80-\xff]*)$", re.S)
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -60,13 +59,21 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def shared_class(word: bytes) -> int:
     """One of the hashed classes, by a word's last bytes and what follows them."""
-    body, mark = _TAIL.match(word[-24:]).groups()
-    return zlib.crc32(body[-3:] + mark[:1]) % HASHED
+    body = word.rstrip(_MARKS)
+    n = len(body)
+    return zlib.crc32(word[max(0, n - 3) : n + 1]) % HASHED
+
+
+class Listed(dict):
+    """Place of a listed word; a word that is not listed gives the number of places plus its class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + 1 + OWN_CLASSES + shared_class(word)
 
 
 @dataclass
 class Vocabulary:
-    listed: dict[bytes, int]  # word -> place; places from the most frequent on
+    listed: Listed  # word -> place; places from the most frequent on
     counts: np.ndarray  # of the listed
     classes: np.ndarray  # of the listed
     own: int  # so many places have classes of their own
@@ -81,8 +88,7 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Places of listed words; len(listed) + class of the others."""
-        n, get = len(self.listed), self.listed.get
-        return np.fromiter((got if (got := get(w)) is not None else n + 1 + OWN_CLASSES + shared_class(w) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.listed.__getitem__, words), np.int64, len(words))
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         n = len(self.listed)
@@ -142,7 +148,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     np.subtract.at(types, classes[:own], 1)
     classes[:own] = 1 + np.arange(own)
     tokens[1 : 1 + own], types[1 : 1 + own] = n[:own], 1
-    return Vocabulary({w: i for i, w in enumerate(words)}, n, classes, own, tokens, types, total, n_types)
+    return Vocabulary(Listed(zip(words, range(len(words)))), n, classes, own, tokens, types, total, n_types)
 
 
 class LogBilinear:
@@ -174,18 +180,23 @@ class LogBilinear:
             h += self.seen[contexts[k]] * self.mix[k]
         return h
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 8192) -> np.ndarray:
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1024) -> np.ndarray:
         """Natural logarithms, normalised over all classes."""
         out = np.empty(len(targets), np.float32)
+        weights = np.concatenate([self.next, self.bias[:, None]], 1).T.copy()
+        longest, highest = np.sqrt((self.next**2).sum(1).max()), np.abs(self.bias).max()
         for k in range(0, len(targets), step):
             t = targets[k : k + step]
-            s = self.hidden(contexts[:, k : k + step]) @ self.next.T
-            s += self.bias
+            h = np.ones((len(t), WIDTH + 1), np.float32)
+            h[:, :-1] = self.hidden(contexts[:, k : k + step])
+            s = h @ weights
             picked = s[np.arange(len(t)), t]
-            top = s.max(1)
-            s -= top[:, None]
+            if np.sqrt((h[:, :-1] ** 2).sum(1).max()) * longest + highest > 80:  # the exponentials could overflow
+                top = s.max(1)
+                s -= top[:, None]
+                picked -= top
             np.exp(s, out=s)
-            out[k : k + step] = picked - top - np.log(s.sum(1))
+            out[k : k + step] = picked - np.log(s.sum(1))
         return out
 
     def update(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray], rate: float) -> None:
@@ -213,7 +224,7 @@ class LogBilinear:
 
 def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of values by row."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # a radix sort
     ordered = rows[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     out = np.zeros((size, values.shape[1]), np.float32)
@@ -233,7 +244,7 @@ def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([stream[at - k] for k in range(1, CONTEXT + 1)]), stream[at]
 
 
-def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int, rate: float = 0.08) -> int:
+def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int, rate: float = 0.06) -> int:
     """One pass over a stream of documents of classes; the number of tokens."""
     rng = np.random.default_rng(seed)
     squares = [np.zeros(p.shape, np.float32) for p in model.parameters()]
