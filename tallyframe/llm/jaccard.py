@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches, table
 from .hashing import ODD, mix, word_hashes
-from .linking import link, sized
+from .linking import link, pairs_by_lag, sized
 
 SHINGLE, THRESHOLD_NUM, THRESHOLD_DEN = 5, 80, 100
-KEYS, BITS, LEAF, FAN = 24, 1024, 16, 8
+KEYS, BITS, LEAF, FAN = 24, 512, 16, 8
 _SEEDS = np.random.default_rng(97).integers(1, 2**63, KEYS, dtype=np.uint64) | np.uint64(1)
 _MORE = np.random.default_rng(98).integers(1, 2**63, KEYS, dtype=np.uint64)
 
@@ -52,7 +52,7 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
 
 
 def describe(own: np.ndarray) -> tuple[int, np.ndarray, bytes]:
-    """(hash of the set, min-hash keys, bitmap)."""
+    """(hash of the set, min-hash keys, bitmap of two bits or more per token)."""
     name = int(mix(np.add.reduce(mix(own), keepdims=True) + np.array([len(own)], np.uint64) * ODD).view(np.int64)[0])
     low = np.full(KEYS, np.iinfo(np.uint64).max)
     for k in range(0, len(own), 4096):
@@ -60,9 +60,15 @@ def describe(own: np.ndarray) -> tuple[int, np.ndarray, bytes]:
         low = np.minimum(low, ((part[None, :] ^ _MORE[:, None]) * _SEEDS[:, None] >> np.uint64(1)).min(1))
     # the smallest value names a token; mixed with the number of its function it is a bucket
     keys = mix(low + np.arange(KEYS, dtype=np.uint64) * ODD).view(np.int64)
-    bits = np.zeros(BITS, np.uint8)
-    bits[own % np.uint64(BITS)] = 1
-    return name, keys, np.packbits(bits).tobytes()
+    size = max(BITS, 1 << (2 * len(own) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[own % np.uint64(size)] = 1
+    return name, keys, np.packbits(bits, bitorder="little").tobytes()
+
+
+def fold(bitmap: bytes, size: int = BITS) -> bytes:
+    """A bitmap with its bits taken modulo a smaller power of two."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size // 8), 0).tobytes()
 
 
 def _overlap_needed(a, b):
@@ -73,20 +79,20 @@ def _overlap_needed(a, b):
 class SignatureTree:
     """Levels from the leaves up: OR of bitmaps, smallest and largest size, most tokens beyond the bits."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, levels: bool = True):
         self.sizes, self.bitmaps = sizes, bitmaps
         bits = np.bitwise_count(bitmaps).sum(1).astype(np.int64)
         level = (bitmaps, sizes, sizes, sizes - bits)
         self.levels = [level]
         fan = LEAF
-        while len(level[1]) > 1:
+        while levels and len(level[1]) > 1:
             at = np.arange(0, len(level[1]), fan)
             level = (np.bitwise_or.reduceat(level[0], at, 0), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at))
             self.levels.append(level)
             fan = FAN
         self.fans = [LEAF] + [FAN] * (len(self.levels) - 2)
 
-    def _possible(self, depth: int, x: np.ndarray, y: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    def possible(self, depth: int, x: np.ndarray, y: np.ndarray, step: int = 1 << 14) -> np.ndarray:
         bits, low, high, beyond = self.levels[depth]
         keep = np.zeros(len(x), bool)
         for k in range(0, len(x), step):
@@ -101,7 +107,7 @@ class SignatureTree:
         """Members x < y that may reach the threshold: a traversal of pairs of tree nodes from the root."""
         x = y = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, 0, -1):
-            keep = self._possible(depth, x, y)
+            keep = self.possible(depth, x, y)
             x, y, fan, n = x[keep], y[keep], self.fans[depth - 1], len(self.levels[depth - 1][1])
             parts = []
             for k in range(0, len(x), 2048):
@@ -111,7 +117,7 @@ class SignatureTree:
                 ok = (a < n) & (b < n) & ((a < b) if depth == 1 else (a <= b))
                 a, b = a[ok], b[ok]
                 if depth == 1:
-                    ok = self._possible(0, a, b)
+                    ok = self.possible(0, a, b)
                     a, b = a[ok], b[ok]
                 parts.append((a, b))
             x = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -119,26 +125,38 @@ class SignatureTree:
         return (x, y) if len(self.levels) > 1 else (x[:0], y[:0])
 
 
-def search(rows: list[dict]) -> Iterator[tuple[int, int]]:
-    """Candidate pairs across the components of one bucket."""
-    component = np.array([r["component"] for r in rows])
-    if (component == component[0]).all():
-        return
-    rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: (r["n"], r["node"]))
-    component = np.array([r["component"] for r in rows])
-    tree = SignatureTree(np.array([r["n"] for r in rows], np.int64), np.frombuffer(b"".join(r["bitmap"] for r in rows), np.uint64).reshape(len(rows), -1))
-    x, y = tree.pairs()
-    for i, j in zip(x.tolist(), y.tolist()):
-        if component[i] != component[j]:
-            a, b = rows[i]["node"], rows[j]["node"]
-            yield (a, b) if a < b else (b, a)
+def search(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one unit that may reach the threshold: a signature tree for each unit."""
+    unit, sizes = cols["unit"], cols["n"].astype(np.int64)
+    bitmaps = np.frombuffer(b"".join(cols["sketch"]), np.uint64).reshape(len(unit), -1)
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    ends = np.r_[starts[1:], len(unit)]
+    tall = ends - starts > LEAF
+    # trees that are one leaf, all at once
+    at = np.repeat(~tall, ends - starts)
+    rows = np.flatnonzero(at)
+    leaf = SignatureTree(sizes[rows], bitmaps[rows], levels=False)
+    for i, j in pairs_by_lag(unit[rows]):
+        ok = leaf.possible(0, i, j)
+        yield rows[i[ok]], rows[j[ok]]
+    for s, e in zip(starts[tall].tolist(), ends[tall].tolist()):
+        names, times = np.unique(cols["component"][s:e], return_counts=True)
+        outside = s + np.flatnonzero(cols["component"][s:e] != names[times.argmax()])
+        if 2 * len(outside) < e - s:  # few members outside one component: these with all
+            i, j = np.repeat(outside, e - s), np.tile(np.arange(s, e), len(outside))
+            ok = SignatureTree(sizes, bitmaps, levels=False).possible(0, i, j)
+            yield i[ok], j[ok]
+            continue
+        order = s + np.argsort(sizes[s:e], kind="stable")
+        x, y = SignatureTree(sizes[order], bitmaps[order]).pairs()
+        yield order[x], order[y]
 
 
 def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, name, keys, bitmap) of every row; name, keys and bitmap are null for empty sets."""
+    """(id, n, name, keys, bitmap, sketch) of every row; all but id and n are null for empty sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, names, keys, bitmaps = [], [], [], []
+        n, names, keys, bitmaps, sketches = [], [], [], [], []
         for text in batch.column(1):
             own = shingles(text.as_py())
             name, key, bitmap = describe(own) if len(own) else (None, None, None)
@@ -146,16 +164,37 @@ def described(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             names.append(name)
             keys.append(key)
             bitmaps.append(bitmap)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())], ["id", "n", "name", "keys", "bitmap"])
+            sketches.append(bitmap and fold(bitmap))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(sketches, pa.binary())], ["id", "n", "name", "keys", "bitmap", "sketch"])
+
+    return map_batches(df.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, "id bigint, n bigint, name bigint, keys array<bigint>, bitmap binary, sketch binary")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for n_a, a, n_b, b in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
+            if THRESHOLD_DEN * n_a < THRESHOLD_NUM * n_b or THRESHOLD_DEN * n_b < THRESHOLD_NUM * n_a:
+                keep.append(False)
+                continue
+            size = 8 * min(len(a), len(b))
+            x, y = (np.frombuffer(m if len(m) * 8 == size else fold(m, size), np.uint64) for m in (a, b))
+            most = int(np.bitwise_count(x & y).sum()) + min(n_a - int(np.bitwise_count(x).sum()), n_b - int(np.bitwise_count(y).sum()))
+            keep.append((THRESHOLD_NUM + THRESHOLD_DEN) * most >= _overlap_needed(n_a, n_b))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(df.select(F.col(id_col).cast("bigint").alias("id"), text_col), run, "id bigint, n bigint, name bigint, keys array<bigint>, bitmap binary")
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"_n_{c}"), F.col("bitmap").alias(f"_m_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_n_a", "_m_a", "_n_b", "_m_b")
+    return map_batches(joined, run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, names, out = [], [], []
+        ids, out = [], []
         for i, name, text in zip(*(c.to_pylist() for c in batch.columns)):
             own = shingles(text)
             if len(own) and describe(own)[0] == name:
@@ -171,23 +210,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, scratch: Scra
             keep.append(THRESHOLD_DEN * common >= THRESHOLD_NUM * (len(x) + len(y) - common))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "name"), "id"))
-    chosen = docs.join(sized(needed), "id").select("id", "name", "text")
-    full = scratch.keep(map_batches(chosen, sets, "node bigint, own binary").dropDuplicates(["node"]))
+    near = scratch.keep(_possible(pairs, nodes))
+    needed = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "name"), "id"))
+    full = scratch.keep(map_batches(docs.join(sized(needed), "id").select("id", "name", "text"), sets, "node bigint, own binary"))
     side = lambda c: full.select(F.col("node").alias(c), F.col("own").alias(f"_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b")
-    return map_batches(joined, check, "a bigint, b bigint")
+    joined = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b")
+    links = scratch.keep(map_batches(joined, check, "a bigint, b bigint").distinct())
+    scratch.drop(near, needed, full)
+    return links
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row; the component is the smallest id that links reach."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.keep(described(df, id_col, text_col))
-    nodes = rows.filter("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap")).filter("id is not null")
+    nodes = rows.filter("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch")).filter("id is not null")
     nodes = scratch.keep(nodes)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     members = nodes.select(F.explode("keys").alias("g"), F.col("id").alias("node")).distinct()
-    found = link(members, lambda pairs: _verified(pairs, docs, nodes, scratch), nodes.select(F.col("id").alias("node"), "n", "bitmap"), search, scratch)
+    found = link(members, lambda pairs: _verified(pairs, docs, nodes, scratch), nodes.select(F.col("id").alias("node"), "n", "sketch"), search, scratch)
     named = rows.select("id", "n", "name").join(nodes.select("name", F.col("id").alias("node")), "name", "left")
     labelled = named.join(found, "node", "left")
     return labelled.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, map_batches, table
 from .hashing import ODD, mix, word_hashes
-from .linking import link, sized
+from .linking import link, pairs_by_lag, sized
 
 MIN_WORDS = 4
 MAX_BITS = 3
@@ -89,10 +89,11 @@ def _texts_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(2).to_pylist():
-                _, line, h, _ = line_hashes([value])
-                lines = normalised(value).split(b"\n")
-                texts = [b" ".join(lines[i].split()).decode("utf-8", "replace") for i in line.tolist()]
+            for at in range(0, batch.num_rows, GROUP):
+                values = batch.column(2).slice(at, GROUP).to_pylist()
+                owner, line, h, _ = line_hashes(values)
+                lines = [normalised(v).split(b"\n") for v in values]
+                texts = [b" ".join(lines[o][i].split()).decode("utf-8", "replace") for o, i in zip(owner.tolist(), line.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(texts, pa.string())], ["h", "line_text"])
 
     return docs.mapInArrow(run, "h bigint, line_text string")
@@ -114,16 +115,55 @@ def block_keys(sim, blocks: int, match: int):
     return F.array(*(F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(signed(sum(masks[b] for b in c))))) for i, c in enumerate(combinations(range(blocks), match))))
 
 
-def search(rows: list[dict]) -> Iterator[tuple[int, int]]:
-    """Pairs across components within MAX_BITS bits."""
-    component = np.array([r["component"] for r in rows])
-    if (component == component[0]).all():
-        return
-    node, sim = np.array([r["node"] for r in rows]), np.array([r["sim"] for r in rows]).view(np.uint64)
-    near = np.bitwise_count(sim[:, None] ^ sim[None, :]) <= MAX_BITS
-    near &= (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
-    for i, j in np.argwhere(near).tolist():
-        yield int(node[i]), int(node[j])
+def search(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one unit within MAX_BITS bits."""
+    sim = cols["sim"].view(np.uint64)
+    for i, j in pairs_by_lag(cols["unit"]):
+        near = np.bitwise_count(sim[i] ^ sim[j]) <= MAX_BITS
+        yield i[near], j[near]
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and substitutions; common ends are cut off, the rest goes column by column in bit rows."""
+    n = _common(a, b)
+    a, b = a[n:], b[n:]
+    n = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    plus, minus = full, 0
+    for c in b:
+        here = places.get(c, 0)
+        vertical = here | minus
+        across = ((here & plus) + plus ^ plus) | here
+        up = minus | full & ~(across | plus)
+        down = plus & across
+        score += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        plus = (down | full & ~(vertical | up)) & full
+        minus = up & vertical & full
+    return score
+
+
+def similar(a: str, b: str) -> bool:
+    most = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
 
 def removals(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -144,9 +184,15 @@ def removals(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
         found = docs.alias("d").join(small.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.k") == F.col("w.k")), "left_semi")
         texts = scratch.keep(_texts_of(found.select("id", "k", "text")).join(sized(needed.select("h")), "h", "left_semi").dropDuplicates(["h"]))
         text = lambda c: texts.select(F.col("h").alias(c), F.col("line_text").alias(f"_{c}"))
-        most = F.expr(f"cast(floor({1 - SIMILARITY:.4f} * greatest(length(_a), length(_b))) as int)")
-        both = near.join(text("a"), "a").join(text("b"), "b").withColumn("_most", most)
-        return both.filter(F.expr("levenshtein(_a, _b, _most) >= 0")).select("a", "b")
+
+        def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "_a", "_b")
+        links = scratch.keep(map_batches(both, check, "a bigint, b bigint"))
+        scratch.drop(near, needed, where, texts)
+        return links
 
     groups = link(members, verify, nodes.select(F.col("h").alias("node"), "sim"), search, scratch)
     labelled = nodes.select(F.col("h").alias("node"), "n", "place").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

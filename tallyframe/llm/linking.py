@@ -1,26 +1,32 @@
 """Links between rows that share a bucket, and connected components, at any bucket size.
 
-Buckets are not expanded into all pairs.  First every member is compared with
-its bucket's first member only (one pair per member), and the links found are
-contracted into components.  Then only buckets whose members lie in two or
-more components are searched for pairs across components; buckets above
-``BUCKET`` members are cut into blocks, and every pair of blocks is a unit of
-work of its own.  No pair of a bucket escapes: a pair is compared, or its two
-members are already in one component.
+Buckets of up to ``SMALL`` members are searched for pairs at once; their
+pairs are at most ``SMALL / 2`` times their members.  Larger buckets are not
+expanded into all pairs.  First every member is compared with its bucket's
+first member only (one pair per member), and the links found so far are
+contracted into components.  Then only large buckets whose members lie in two
+or more components are searched for pairs across components.  One member of
+such a pair is outside the bucket's largest component, so blocks of those
+members meet blocks of all members; every pair of blocks is a unit of work of
+its own.  No pair of a bucket escapes: a pair is compared, or its two members
+are already in one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Members of a bucket that are searched together.
-BUCKET = 1024
+#: Members of a bucket that are searched together; members up to which all pairs are searched at once.
+BUCKET, SMALL = 1024, 64
+#: Rows that a task holds while it searches.
+HELD = 1 << 15
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -58,56 +64,88 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: DataFrame, search: Callable[[list[dict]], Iterator[tuple[int, int]]], scratch: Scratch) -> DataFrame:
+def pairs_by_lag(unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index arrays (i, j) that together hold every pair i < j of one unit; ``unit`` is sorted."""
+    i, lag = np.arange(len(unit) - 1), 1
+    while len(i):
+        i = i[unit[i] == unit[i + lag]]
+        if len(i):
+            yield i, i + lag
+        lag += 1
+        i = i[i + lag < len(unit)]
+
+
+#: Columns of whole units (sorted by "unit") -> index arrays of candidate pairs.
+Search = Callable[[dict[str, np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def searched(rows: DataFrame, search: Search) -> DataFrame:
+    """Candidate pairs (a, b) of rows (unit, node, component, ...), those of one component left out."""
+
+    def column(c: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(c.type):
+            return np.array(c.to_pylist(), object)
+        return c.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def work(table: pa.Table) -> pa.RecordBatch:
+            cols = {n: column(table.column(n).combine_chunks()) for n in table.column_names}
+            node, component, found = cols["node"], cols["component"], []
+            for i, j in search(cols):
+                ok = (component[i] != component[j]) & (node[i] != node[j])
+                a, b = node[i[ok]], node[j[ok]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < HELD:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            unit = table.column("unit").to_numpy()
+            cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+            if cut:
+                yield work(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint")
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: DataFrame, search: Search, scratch: Scratch) -> DataFrame:
     """(node, component) of nodes with links.
 
     members: (g, node) with repeated buckets g; verify: pairs (a, b) to links (a, b);
-    payload: (node, ...) what ``search`` needs; search: pairs across components of
-    the members (columns of payload and ``component``) of one unit of work.
+    payload: (node, ...) what ``search`` needs.
     """
     counted = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     shared = scratch.keep(members.join(counted, "g"))
-    pairs = scratch.keep(shared.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    small = shared.filter(F.col("n") <= SMALL).select(F.col("g").alias("unit"), "node", F.col("node").alias("component")).join(payload, "node")
+    large = shared.filter(F.col("n") > SMALL)
+    star = large.filter("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+    pairs = scratch.keep(searched(small, search).unionByName(star).distinct())
     links = scratch.keep(verify(pairs))
     parts = scratch.keep(connected_components(links, scratch))
-    labelled = shared.select("g", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if large.isEmpty():
+        return parts
+    labelled = large.select("g", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = scratch.keep(labelled)
-    mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    blocks = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.when(F.col("n") <= BUCKET, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    units = (
-        labelled.join(mixed, "g", "left_semi")
-        .select("g", "node", "component", "n", own.alias("own"), other.alias("other"))
-        .select("node", "component", F.when(F.col("n") <= BUCKET, F.xxhash64("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"))
-    )
-    fields = [c for c in payload.columns if c != "node"]
-    rows = units.join(payload, "node")
-    rows = rows.repartition("unit").sortWithinPartitions("unit")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, found = None, [], set()
-
-        def out() -> pa.RecordBatch:
-            a, b = zip(*sorted(found)) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["unit"] != unit:
-                    if len(held) > 1:
-                        found.update(search(held))
-                    unit, held = row["unit"], []
-                    if len(found) > 50_000:
-                        yield out()
-                        found.clear()
-                held.append(row)
-        if len(held) > 1:
-            found.update(search(held))
-        if found:
-            yield out()
-
-    across = scratch.keep(rows.select("unit", "node", "component", *fields).mapInArrow(run, "a bigint, b bigint").distinct())
+    # pairs across components have a member outside the bucket's largest component
+    sizes = labelled.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("g").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).filter("all > top.c").select("g", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c")).alias("outside"))
+    rows = labelled.join(mixed, "g")
+    block = lambda n, size: F.ceil(n / size).cast("int")
+    some, every = block(F.col("outside"), BUCKET // 4), block(F.col("n"), BUCKET // 2)
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    first = rows.filter("component <> main").select("g", "node", "component", place(some).alias("x"), numbers(every).alias("y"))
+    second = rows.select("g", "node", "component", place(every).alias("y"), numbers(some).alias("x"))
+    units = first.unionByName(second).select("node", "component", F.xxhash64("g", "x", "y").alias("unit")).distinct()
+    across = scratch.keep(searched(units.join(payload, "node"), search).distinct())
     more = scratch.keep(verify(across))
     # contract once more, over components
     label = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))

@@ -59,6 +59,7 @@ def corpus():
 @pytest.mark.parametrize("bucket", [1024, 16])
 def test_shingle_join_equals_brute_force(spark, corpus, monkeypatch, bucket):
     monkeypatch.setattr(linking, "BUCKET", bucket)
+    monkeypatch.setattr(linking, "SMALL", bucket // 4)
     df = spark.createDataFrame([(i, t, 0) for i, t in corpus.items()], "doc_id bigint, text string, n int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()}
     assert got == brute_components(corpus)
@@ -83,7 +84,7 @@ def test_signature_tree_loses_no_pair():
             own[: rng.integers(0, 20)] = rng.integers(0, 2**63, 1, dtype=np.uint64)
             sets.append(np.unique(own))
     sets.sort(key=len)
-    bitmaps = np.stack([np.frombuffer(jaccard.describe(s)[2], np.uint64) for s in sets])
+    bitmaps = np.stack([np.frombuffer(jaccard.fold(jaccard.describe(s)[2]), np.uint64) for s in sets])
     x, y = jaccard.SignatureTree(np.array([len(s) for s in sets]), bitmaps).pairs()
     found = set(zip(x.tolist(), y.tolist()))
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
@@ -149,7 +150,7 @@ def brute_lines(docs):
     for x, a in enumerate(lines):
         for y in range(x + 1, len(lines)):
             b = lines[y]
-            near = a[2] == b[2] or bin((a[3] ^ b[3]) & (2**64 - 1)).count("1") <= line_dedup.MAX_BITS and distance(a[4], b[4]) <= int(0.2 * max(len(a[4]), len(b[4])))
+            near = a[2] == b[2] or bin((a[3] ^ b[3]) & (2**64 - 1)).count("1") <= line_dedup.MAX_BITS and distance(a[4], b[4]) <= int(0.2 * max(len(a[4]), len(b[4])) + 1e-9)
             if near:
                 p, q = find(x), find(y)
                 root[max(p, q)] = min(p, q)
@@ -181,6 +182,23 @@ def test_lines_equal_brute_force(spark):
         assert r.text == "\n".join(x for k, x in enumerate(docs[r.doc_id].split("\n")) if k not in r.removed_lines)
 
 
+def test_edit_distance():
+    rng = random.Random(12)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for x, ca in enumerate(a, 1):
+            last, row[0] = row[0], x
+            for y, cb in enumerate(b, 1):
+                last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (ca != cb))
+        return row[-1]
+
+    for _ in range(500):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(40)))
+        b = "".join(c for c in a if rng.random() > 0.1) if rng.random() < 0.5 else "".join(rng.choice("abcé") for _ in range(rng.randrange(40)))
+        assert line_dedup.edit_distance(a, b) == plain(a, b)
+
+
 def test_lines_odd_rows(spark):
     line = "one two three four five six"
     df = spark.createDataFrame([(None, line), (1, None), (2, ""), (3, line), (3, line), (4, f"{line}\n{line}")], "doc_id bigint, text string")
