@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Members of a bucket that are searched together; members up to which all pairs are searched at once.
-BUCKET, SMALL = 1024, 64
+BUCKET, SMALL = 4096, 64
 #: Rows that a task holds while it searches.
 HELD = 1 << 15
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
