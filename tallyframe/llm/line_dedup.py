@@ -9,7 +9,8 @@ the first occurrence of a group (smallest id, then line) stays.  More blocks
 are matched as the number of different lines grows, so that a key has more
 bits than there are lines; the pairs that are found stay the same.
 
-Lines of fewer than ``MIN_WORDS`` words are left alone.
+Every line with a word in it takes part, however short; a line of a script
+that writes no blanks is one word.
 
 Cases: null and empty texts have no lines to lose; a null id sorts first;
 rows of one id and one text are one document, and lose or keep the same
@@ -31,7 +32,6 @@ from .common import Scratch, map_batches, table
 from .hashing import ODD, mix, word_hashes
 from .linking import link, pairs_by_lag, sized
 
-MIN_WORDS = 4
 MAX_BITS = 3
 SIMILARITY = 0.8
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
@@ -46,7 +46,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, line number, hash, SimHash) of the lines of MIN_WORDS words or more."""
+    """(text number, line number, hash, SimHash) of the lines with a word."""
     parts = [normalised(t) for t in texts]
     raw = b"\n".join(parts)
     data = np.frombuffer(raw, np.uint8)
@@ -67,8 +67,7 @@ def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     number = line[first]
     begin = np.cumsum([0, *(p.count(b"\n") + 1 for p in parts)])
     owner = np.searchsorted(begin, number, "right") - 1
-    keep = count >= MIN_WORDS
-    return owner[keep], (number - begin[owner])[keep], hashes[keep].view(np.int64), sims[keep].view(np.int64)
+    return owner, number - begin[owner], hashes.view(np.int64), sims.view(np.int64)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -211,3 +211,11 @@ def test_block_plan_has_enough_bits():
     for n in (0, 10, 10**6, 10**8, 10**10):
         blocks, match = line_dedup.plan(n)
         assert blocks == match + line_dedup.MAX_BITS and (match == 5 or 64 * match / blocks >= n.bit_length() + 2)
+
+
+def test_short_and_unspaced_lines_are_joined(spark):
+    chinese = "\u8fd9\u662f\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u6587\u5b57"
+    df = spark.createDataFrame([(1, f"All rights reserved\n{chinese}"), (2, f"own words\nall rights reserved.\n\n{chinese}"), (3, "Page 3\n \n-"), (4, "page 8\n \n-")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.removed_lines, r.text) for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got[1][0] == [] and got[2] == ([1, 3], "own words\n")
+    assert got[3][0] == [] and got[4] == ([0], " \n-")
