@@ -9,6 +9,14 @@ the first occurrence of a group (smallest id, then line) stays.  More blocks
 are matched as the number of different lines grows, so that a key has more
 bits than there are lines; the pairs that are found stay the same.
 
+With ``grams`` lines also meet by their characters, and edit similarity alone
+decides.  Lines of up to ``SHORT`` characters meet on their text less one
+character, which finds every pair one edit apart.  Longer lines meet on bands
+of ``ROWS`` minimal hashes of their byte n-grams (3 bytes up to 80 bytes, 6
+bytes from 40 on, so that two similar lines always share a kind); pairs that
+agree in fewer than ``AGREE`` of the hashes are not compared.  This is a
+sample: the README has the measured recall.
+
 Every line with a word in it takes part, however short; a line of a script
 that writes no blanks is one word.
 
@@ -21,6 +29,7 @@ extra columns stay as they are; an empty table stays empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +43,14 @@ from .linking import link, pairs_by_lag, sized
 
 MAX_BITS = 3
 SIMILARITY = 0.8
+#: Bands of minimal hashes, hashes in a band, and equal hashes that a pair needs.
+BANDS, ROWS, AGREE = 24, 3, 7
+#: Bytes of an n-gram, and the least and most bytes of the lines that it serves.
+KINDS = ((3, 8, 80), (6, 40, None))
+#: Characters up to which lines meet on their text less one character.
+SHORT = 12
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 10]] = True
 #: Documents whose lines are hashed together.
@@ -70,17 +86,63 @@ def line_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return owner, number - begin[owner], hashes.view(np.int64), sims.view(np.int64)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """docs (id, k, text) -> (id, k, line, h, sim)."""
+def minima(lines: list[bytes], n: int) -> np.ndarray:
+    """Row of BANDS * ROWS minimal hashes, 16 bits each, of the n-grams of each line of n bytes or more."""
+    data = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
+    count = np.array([len(x) - n + 1 for x in lines])
+    first = np.cumsum(np.r_[0, count[:-1]])
+    at = np.arange(count.sum()) + np.repeat(np.arange(len(lines)) * (n - 1), count)
+    value = mix(sum(data[at + j] << np.uint64(8 * j) for j in range(n)))
+    out = np.empty((len(lines), BANDS * ROWS), np.uint16)
+    for k, odd in enumerate(_FACTORS):
+        out[:, k] = mix(np.minimum.reduceat(value * odd, first)) & np.uint64(0xFFFF)
+    return out
+
+
+def without_one(text: str) -> list[int]:
+    """Hashes of a text and of the text less any one character."""
+    forms = {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
+    return [int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in sorted(forms)]
+
+
+def line_grams(lines: list[bytes]) -> tuple[list[int], list[list[bytes | None]], list[list[int]]]:
+    """Characters, minimal hashes of each kind and short keys of lines with single blanks."""
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    kinds = []
+    for n, least, most in KINDS:
+        own = [i for i, x in enumerate(lines) if least <= len(x) <= (most or len(x))]
+        found: list[bytes | None] = [None] * len(lines)
+        for i, row in zip(own, minima([lines[i] for i in own], n) if own else ()):
+            found[i] = row.tobytes()
+        kinds.append(found)
+    return [len(t) for t in texts], kinds, [without_one(t) if 4 <= len(t) <= SHORT else [] for t in texts]
+
+
+def lines_of(docs: DataFrame, grams: bool = False) -> DataFrame:
+    """docs (id, k, text) -> (id, k, line, h, sim), and with grams (size, short, g0, g1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
-                owner, line, h, sim = line_hashes(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(line, pa.int32()), pa.array(h), pa.array(sim)], ["id", "k", "line", "h", "sim"])
+                values = part.column(2).to_pylist()
+                owner, line, h, sim = line_hashes(values)
+                cols = [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(line, pa.int32()), pa.array(h), pa.array(sim)]
+                names = ["id", "k", "line", "h", "sim"]
+                if grams:
+                    size, kinds, short = line_grams(_lines_at(values, owner, line))
+                    cols += [pa.array(size, pa.int32()), pa.array(short, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in kinds)]
+                    names += ["size", "short", "g0", "g1"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    more = ", size int, short array<bigint>, g0 binary, g1 binary" if grams else ""
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k bigint, line int, h bigint, sim bigint{more}")
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k bigint, line int, h bigint, sim bigint")
+
+def _lines_at(values: list[str | None], owner: np.ndarray, line: np.ndarray) -> list[bytes]:
+    """Normalised lines with single blanks, by text number and line number."""
+    lines = [normalised(v).split(b"\n") for v in values]
+    return [b" ".join(lines[o][i].split()) for o, i in zip(owner.tolist(), line.tolist())]
 
 
 def _texts_of(docs: DataFrame) -> DataFrame:
@@ -91,8 +153,7 @@ def _texts_of(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, GROUP):
                 values = batch.column(2).slice(at, GROUP).to_pylist()
                 owner, line, h, _ = line_hashes(values)
-                lines = [normalised(v).split(b"\n") for v in values]
-                texts = [b" ".join(lines[o][i].split()).decode("utf-8", "replace") for o, i in zip(owner.tolist(), line.tolist())]
+                texts = [x.decode("utf-8", "replace") for x in _lines_at(values, owner, line)]
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(texts, pa.string())], ["h", "line_text"])
 
     return docs.mapInArrow(run, "h bigint, line_text string")
@@ -122,6 +183,33 @@ def search(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         yield i[near], j[near]
 
 
+def gram_members(nodes: DataFrame) -> DataFrame:
+    """(node, g) of the bands of every kind and of the short keys."""
+    band = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.lit(c), i, F.col(c).substr(i * 2 * ROWS + 1, F.lit(2 * ROWS))))
+    keys = F.concat("short", *(F.when(F.col(c).isNotNull(), band(c)).otherwise(F.array().cast("array<bigint>")) for c in ("g0", "g1")))
+    return nodes.select(F.col("h").alias("node"), F.explode(keys).alias("g"))
+
+
+def search_grams(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one unit whose sizes allow the similarity and which are near by SimHash, minimal hashes or shortness."""
+    sim, size = cols["sim"].view(np.uint64), cols["size"].astype(np.int64)
+    kinds = []
+    for c in ("g0", "g1"):
+        there = np.array([x is not None for x in cols[c]], bool)
+        rows = np.zeros((len(there), BANDS * ROWS), np.uint16)
+        if there.any():
+            rows[there] = np.frombuffer(b"".join(x for x in cols[c] if x is not None), np.uint16).reshape(-1, BANDS * ROWS)
+        kinds.append((there, rows))
+    for i, j in pairs_by_lag(cols["unit"]):
+        fits = 5 * np.abs(size[i] - size[j]) <= np.maximum(size[i], size[j])
+        i, j = i[fits], j[fits]
+        near = (np.bitwise_count(sim[i] ^ sim[j]) <= MAX_BITS) | (np.maximum(size[i], size[j]) <= SHORT)
+        for there, rows in kinds:
+            own = np.flatnonzero(~near & there[i] & there[j])
+            near[own] = (rows[i[own]] == rows[j[own]]).sum(1) >= AGREE
+        yield i[near], j[near]
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common prefix, by halving."""
     low, high = 0, min(len(a), len(b))
@@ -165,18 +253,22 @@ def similar(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
 
-def removals(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def removals(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, grams: bool = False) -> DataFrame:
     """(id, k, removed array<int>): the lines to drop of every document that loses some."""
     docs = keyed(df, id_col, text_col)
-    lines = scratch.keep(lines_of(docs))
-    nodes = lines.groupBy("h").agg(F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "line")).alias("place"))
+    lines = scratch.keep(lines_of(docs, grams))
+    extra = ["size", "short", "g0", "g1"] if grams else []
+    nodes = lines.groupBy("h").agg(F.first("sim").alias("sim"), *(F.first(c).alias(c) for c in extra), F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "line")).alias("place"))
     nodes = scratch.keep(nodes)
     blocks, match = plan(nodes.count())
     members = nodes.select(F.col("h").alias("node"), F.explode(block_keys(F.col("sim"), blocks, match)).alias("g"))
+    if grams:
+        members = members.select("node", "g").unionByName(gram_members(nodes))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: nodes.select(F.col("h").alias(c), F.col("sim").alias(f"_{c}"))
-        near = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= MAX_BITS).select("a", "b"))
+        side = lambda c: nodes.select(F.col("h").alias(c), F.col("size" if grams else "sim").alias(f"_{c}"))
+        allowed = 5 * F.abs(F.col("_a") - F.col("_b")) <= F.greatest("_a", "_b") if grams else F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= MAX_BITS
+        near = scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(allowed).select("a", "b"))
         needed = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "place.id", "place.k"), "h"))
         where = scratch.keep(needed.select("id", "k").distinct())
         small = sized(where)
@@ -193,7 +285,8 @@ def removals(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
         scratch.drop(near, needed, where, texts)
         return links
 
-    groups = link(members, verify, nodes.select(F.col("h").alias("node"), "sim"), search, scratch)
+    payload = nodes.select(F.col("h").alias("node"), "sim", *(c for c in extra if c != "short"))
+    groups = link(members, verify, payload, search_grams if grams else search, scratch)
     labelled = nodes.select(F.col("h").alias("node"), "n", "place").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = labelled.groupBy("component").agg(F.sum("n").alias("n"), F.min("place").alias("keep")).filter("n > 1").select("component", "keep")
     repeated = labelled.join(kept, "component").select(F.col("node").alias("h"), "keep")
@@ -205,10 +298,13 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the repeated lines gone from its text, and the column ``removed_lines`` (their numbers, from 0)."""
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
+    """df with the repeated lines gone from its text, and the column ``removed_lines`` (their numbers, from 0).
+
+    Without ``grams`` fuzzy lines are only those within MAX_BITS bits of SimHash.
+    """
     scratch = Scratch(df.sparkSession)
-    lost = removals(df, id_col, text_col, scratch).select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("removed").alias("removed_lines"))
+    lost = removals(df, id_col, text_col, scratch, grams).select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("removed").alias("removed_lines"))
     own = df.withColumn("_own", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
     joined = own.join(sized(lost), F.col("_own").eqNullSafe(F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     cut = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
@@ -219,5 +315,5 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = drop_repeated_lines(docs.withColumn("n_lines", n_lines.cast("bigint")))
+    out = drop_repeated_lines(docs.withColumn("n_lines", n_lines.cast("bigint")), grams=True)
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"), "removed_lines", "text")

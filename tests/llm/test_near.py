@@ -219,3 +219,18 @@ def test_short_and_unspaced_lines_are_joined(spark):
     got = {r.doc_id: (r.removed_lines, r.text) for r in line_dedup.drop_repeated_lines(df).collect()}
     assert got[1][0] == [] and got[2] == ([1, 3], "own words\n")
     assert got[3][0] == [] and got[4] == ([0], " \n-")
+
+
+def test_lines_of_one_edit_meet(spark):
+    rng = random.Random(21)
+    docs, pairs = {}, 40
+    for i in range(pairs):  # one letter more in one word, beyond MAX_BITS of SimHash in most lines
+        line = [rng.choice("abcdefghijklmnopqrstuvwxyz") + w for w in words(rng, rng.randrange(2, 60))]
+        docs[i] = " ".join(line)
+        line[rng.randrange(len(line))] += "q"
+        docs[1000 + i] = " ".join(line)
+    docs[2000], docs[2001] = "abcde", "abxde"
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r.doc_id for r in line_dedup.drop_repeated_lines(df, grams=True).collect() if r.removed_lines}
+    assert 2001 in got and got <= {*range(1000, 1000 + pairs), 2001}
+    assert len(got) >= 0.97 * pairs
