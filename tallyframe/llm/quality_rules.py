@@ -6,7 +6,10 @@ and the languages' common words plus one bin for all other words.  The
 references are the sums over all documents of a language.  The nearest
 language by words decides; a document fails when either distance is above
 its threshold.  Guards: the word distance counts from ``MIN_WORDS`` words on,
-the class distance from ``MIN_CHARS`` characters on.
+the class distance from ``MIN_CHARS`` characters on.  With ``by_length`` the
+word distance counts from ``SHORT_WORDS`` words on, and its threshold grows as
+the words get fewer by the distance that sampling adds (its square falls with
+the number of words); from ``MIN_WORDS`` on both are the same.
 
 A word is common when it makes up 1/250 of its language's words or more, so
 there are at most 250 a language; languages count from 1/500 of all documents
@@ -35,6 +38,8 @@ COMMON_SHARE, LANGUAGE_SHARE = 1 / 250, 1 / 500
 COMMON_BYTES = 10
 MIN_WORDS, MIN_CHARS = 120, 200
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.25
+#: Words from which ``by_length`` judges, and the sampling part of a squared distance times the number of words.
+SHORT_WORDS, SAMPLING = 50, 1.75
 #: Removed one after another; what is left is the last class.
 CLASSES = (
     ("space", SPACE), ("consonant", "[b-df-hj-np-tv-z]+"), ("vowel", "[aeiou]+"), ("letter", r"[^\x00-\x7F]+"), ("upper", "[A-Z]+"),
@@ -147,7 +152,7 @@ def word_distance(runs: Column, n_words: Column, shares: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), whole))
 
 
-def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, by_length: bool = False) -> DataFrame:
     """Id, the counts of the base rules, both distances of the nearest language, its name, base_failed and kept."""
     totals, counts = common_words(df, text_col, lang_col)
     weight: dict[str, int] = {}
@@ -173,7 +178,9 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     measured = measured.withColumn("_best", F.array_min(F.array(*candidates)) if candidates else none).select("*", "_best.*")
     n_chars = F.aggregate("_classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    diverges = ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > max_word)) | ((n_chars >= MIN_CHARS) & (F.col("class_distance") > max_class))
+    extra = SAMPLING * (1 / F.least(F.col("n_words"), F.lit(MIN_WORDS)) - 1 / MIN_WORDS)
+    most = F.sqrt(max_word**2 + extra) if by_length else F.lit(max_word)
+    diverges = ((F.col("n_words") >= (SHORT_WORDS if by_length else MIN_WORDS)) & (F.col("word_distance") > most)) | ((n_chars >= MIN_CHARS) & (F.col("class_distance") > max_class))
     return measured.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "word_distance", "class_distance", "nearest",
@@ -185,15 +192,22 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
+def op6_rules_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_rules, with the word rule from SHORT_WORDS words on."""
+    found = assess(table(spark, sf_dir, "documents"), by_length=True)
+    return found.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
+
+
 def _sql_term(p: str, q: str) -> str:
     part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
     return f"(({part(p)}) + ({part(q)})) / 2"
 
 
-def _sql() -> str:
+def _sql(by_length: bool = False) -> str:
     k = len(CLASSES)
     rests = ", ".join(f"regexp_replace(r{i}, '{pattern}', '', 'g') AS r{i + 1}" for i, (_, pattern) in enumerate(CLASSES))
     counts = [*(f"length(r{i}) - length(r{i + 1})" for i in range(k)), f"length(r{k})"]
+    word_rule = f"n >= {SHORT_WORDS} AND wd > sqrt({MAX_WORD_DISTANCE**2} + {SAMPLING} * (1 / least(n, {MIN_WORDS}) - 1 / {MIN_WORDS}))" if by_length else f"n >= {MIN_WORDS} AND wd > {MAX_WORD_DISTANCE}"
     names = [f"k{i}" for i in range(k + 1)]
     total = lambda prefix: "(" + " + ".join(f"{prefix}{n}" for n in names) + ")"
     divergence = " + ".join(_sql_term(f"(d.{n} / greatest({total('d.')}, 1))", f"(c.{n} / greatest({total('c.')}, 1))") for n in names)
@@ -217,8 +231,9 @@ b AS (SELECT d.*, ws.lang AS nearest, sqrt(greatest(0, s + {_sql_term("p", "q")}
   QUALIFY row_number() OVER (PARTITION BY rid ORDER BY wd, cd, ws.lang) = 1),
 f AS (SELECT b.*, coalesce(cov.n_repeat, 0) AS n_repeat, n < 20 OR 100 * coalesce(cov.n_repeat, 0) > 30 * n AS base_failed FROM b LEFT JOIN cov USING (rid))
 SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n >= {MIN_WORDS} AND wd > {MAX_WORD_DISTANCE} OR n_chars >= {MIN_CHARS} AND cd > {MAX_CLASS_DISTANCE}) AS kept, round(wd, 6) AS word_distance, round(cd, 6) AS class_distance, nearest
+  NOT base_failed AND NOT ({word_rule} OR n_chars >= {MIN_CHARS} AND cd > {MAX_CLASS_DISTANCE}) AS kept, round(wd, 6) AS word_distance, round(cd, 6) AS class_distance, nearest
 FROM f"""
 
 
 OP6_SQL = _sql()
+OP6_LENGTHS_SQL = _sql(by_length=True)
