@@ -88,12 +88,26 @@ def join_range(s, d):
     return joins.range_join(table(s, d, "orders").select("o_orderkey"), spans, "o_orderkey", "lo", "hi").select("o_orderkey", "c_mktsegment")
 
 
+@query("WITH s AS (SELECT (c_custkey * 40)::BIGINT AS lo, ((c_custkey + 1) * 40)::BIGINT AS hi, c_mktsegment FROM customer) SELECT o_orderkey, c_mktsegment FROM orders JOIN s ON o_orderkey >= lo AND o_orderkey < hi")
+def join_range_all(s, d):
+    """All customers' spans."""
+    spans = table(s, d, "customer").select((F.col("c_custkey") * 40).alias("lo"), ((F.col("c_custkey") + 1) * 40).alias("hi"), "c_mktsegment")
+    return joins.range_join(table(s, d, "orders").select("o_orderkey"), spans, "o_orderkey", "lo", "hi").select("o_orderkey", "c_mktsegment")
+
+
 @query("WITH s AS (SELECT s_suppkey * 100 AS step, s_name FROM supplier) SELECT e.event_id AS step, s.s_name FROM (SELECT event_id FROM events WHERE event_id % 5 = 0) e ASOF LEFT JOIN s ON e.event_id >= s.step")
 def join_span_lookup(s, d):
     spans = table(s, d, "supplier").select((F.col("s_suppkey") * 100).alias("begin"), "s_name")
     return joins.span_lookup(table(s, d, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("step")), spans, "step", "begin", ["s_name"])
 
 
+@query("WITH s AS (SELECT s_suppkey * 100 AS step, s_name FROM supplier) SELECT e.event_id AS step, s.s_name FROM events e ASOF LEFT JOIN s ON e.event_id >= s.step")
+def join_span_lookup_all(s, d):
+    """All events."""
+    spans = table(s, d, "supplier").select((F.col("s_suppkey") * 100).alias("begin"), "s_name")
+    return joins.span_lookup(table(s, d, "events").select(F.col("event_id").alias("step")), spans, "step", "begin", ["s_name"])
+
+
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT (l_returnflag, l_linenumber)) = (SELECT count(DISTINCT (l_returnflag, l_linenumber)) FROM lineitem)) GROUP BY 1")
 def join_division(s, d):
     li = table(s, d, "lineitem")
@@ -322,6 +336,13 @@ def search_top_k(s, d):
     return search.top_k(b.filter("item_id % 2 = 0"), "item_id", b.withColumnRenamed("item_id", "doc"), "doc", "text", 3).select("item_id", "doc", r("score").alias("score"), "place")
 
 
+@query(ORACLE_SQL["search_top_k"].replace(" WHERE item_id % 2 = 0", ""))
+def search_top_k_all(s, d):
+    """All items as queries."""
+    b = table(s, d, "benchmark")
+    return search.top_k(b, "item_id", b.withColumnRenamed("item_id", "doc"), "doc", "text", 3).select("item_id", "doc", r("score").alias("score"), "place")
+
+
 @query("""WITH u AS (SELECT vec_id // 10 AS pair, vec_id, embedding AS e FROM embeddings), c AS (SELECT * FROM u WHERE vec_id % 2 = 0), f AS (SELECT * FROM u WHERE vec_id % 2 = 1),
 s AS (SELECT c.pair, c.vec_id AS a, f.vec_id AS b, list_sum([x * y FOR x, y IN list_zip(c.e::DOUBLE[], f.e::DOUBLE[])]) AS v FROM c JOIN f USING (pair)),
 p AS (SELECT pair, avg(m) AS p FROM (SELECT pair, a, max(v) AS m FROM s GROUP BY 1, 2) GROUP BY 1), q AS (SELECT pair, avg(m) AS r FROM (SELECT pair, b, max(v) AS m FROM s GROUP BY 1, 2) GROUP BY 1)

@@ -172,3 +172,14 @@ def test_configuration():
     with pytest.raises(ValueError):
         config.unique_labels(["a", "b", "a"])
     assert config.config_hash({"a": 1, "b": 2}) == config.config_hash({"b": 2, "a": 1})
+
+
+def test_whole_table_queries_reach_every_row(spark, sf_dir):
+    from tallyframe.plans import registry
+
+    ids = lambda name, column: {r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(column).collect()}
+    keys, spans = ids("orders", "o_orderkey"), ids("customer", "c_custkey")
+    got = lambda name, column: {r[0] for r in registry.QUERIES[name](spark, sf_dir).select(column).collect()}
+    assert got("join_range_all", "o_orderkey") == {k for k in keys if k // 40 in spans}
+    assert got("join_span_lookup_all", "step") == ids("events", "event_id")
+    assert got("search_top_k_all", "item_id") == ids("benchmark", "item_id")
