@@ -6,10 +6,14 @@ after h -> h + s (h = 0 opens a window, h + s = capacity closes one).
 Documents longer than a window are cut into full windows and one rest.
 
 Every partition packs its own stream in one pass and shuffles nothing.  At
-its end the windows still open (the level array bounds them) are topped up
-from the emptiest ones, cutting pieces, so that at most one stays partly
-filled; that one is cut into lengths that are powers of two, which need no
-padding.  A partition that runs again gives the same rows.
+its end the windows still open stay as the rule filled them; only what they
+lack is taken, in cut pieces, from the emptiest of them, so that at most one
+stays partly filled; that one is cut into lengths that are powers of two,
+which need no padding.  A partition that runs again gives the same rows.
+
+Memory: ids are held for pieces of open windows only (a closed window keeps
+checksums), texts come one group of at most ``GROUP`` texts and
+``GROUP_BYTES`` at a time, and the memo of words is bounded in bytes.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed as
 often as they occur; ties between levels go to the fullest window; an empty
@@ -48,16 +52,19 @@ class WordIds:
     tokenizer as they are.
     """
 
-    #: Texts whose unknown words are learned together.
-    GROUP = 64
+    #: Texts whose unknown words are learned together, and their characters.
+    GROUP, GROUP_BYTES = 64, 1 << 20
+    #: Bytes of a longer word are not memoised; what an entry takes besides its word and ids.
+    LONGEST, ENTRY = 48, 170
 
-    def __init__(self, path: str, entries: int = 700_000):
+    def __init__(self, path: str, memory: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.entries = entries
+        self.memory = memory  # of one generation
+        self.held = 0
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # an older generation
 
@@ -74,35 +81,53 @@ class WordIds:
         except UnicodeEncodeError:
             return None
 
-    def learn(self, words: list[bytes]) -> None:
-        """Words that the tokenizer leaves whole."""
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that the tokenizer leaves whole."""
+        out = {}
         for k in range(0, len(words), 4000):
             part = words[k : k + 4000]
             got = self.tokenizer.encode([w.decode("latin-1") for w in part], is_pretokenized=True, add_special_tokens=False)
             packed = np.array(got.ids, "<u4").tobytes()
             cuts = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * 4).tolist()
-            self.known.update((w, packed[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
+            out.update((w, packed[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
+        return out
+
+    def _group(self, group: list[str]) -> Iterator[bytes]:
+        parts = [self.split(t) for t in group]
+        if self.held > self.memory:
+            self.old, self.known, self.held = self.known, {}, 0
+        known, old, lost = self.known, self.old, []
+        new: set[bytes] = set()
+        for p in parts:
+            if p:
+                new.update(p)
+        long: dict[bytes, bytes] = {}
+        for w in new.difference(known):
+            if (had := old.get(w)) is not None:
+                known[w] = had
+                self.held += self.ENTRY
+            else:
+                lost.append(w)
+        for w, ids in self.learn(lost).items():
+            if len(w) > self.LONGEST:
+                long[w] = ids
+            else:
+                known[w] = ids
+                self.held += self.ENTRY
+        find = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
+        for t, p in zip(group, parts):
+            yield self._encode(t) if p is None else b"".join(map(find, p))
 
-    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+    def texts(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for k in range(0, len(texts), self.GROUP):
-            group = [t or "" for t in texts[k : k + self.GROUP]]
-            parts = [self.split(t) for t in group]
-            if len(self.known) >= self.entries:
-                self.old, self.known = self.known, {}
-            known, old, lost = self.known, self.old, []
-            new: set[bytes] = set()
-            for p in parts:
-                if p:
-                    new.update(p)
-            for w in new.difference(known):
-                if (had := old.get(w)) is not None:
-                    known[w] = had
-                else:
-                    lost.append(w)
-            self.learn(lost)
-            for t, p in zip(group, parts):
-                yield self._encode(t) if p is None else b"".join(map(known.__getitem__, p))
+        group, size = [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if len(group) == self.GROUP or size > self.GROUP_BYTES:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
 
 
 @lru_cache(maxsize=2)
@@ -116,7 +141,7 @@ def word_ids(path: str) -> WordIds:
 class SumOfSquaresPacker:
     """Windows of ``capacity`` tokens; ``place`` returns the rows of windows that it closed.
 
-    A piece is (key, start, ids, doc_tokens); a row is (piece, window, offset).
+    A piece is (key, start, ids, doc_tokens); a row is (key, start, length, crc32 of the ids, doc_tokens, window, offset).
     """
 
     def __init__(self, capacity: int = CAPACITY):
@@ -143,9 +168,9 @@ class SumOfSquaresPacker:
     def _close(self, pieces: list) -> list[tuple]:
         rows, at, window = [], 0, self.windows
         self.windows += 1
-        for piece in pieces:
-            rows.append((piece, window, at))
-            at += len(piece[2]) // 4
+        for key, start, ids, doc_tokens in pieces:
+            rows.append((key, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, window, at))
+            at += len(ids) // 4
         return rows
 
     def place(self, key, ids: bytes) -> list[tuple]:
@@ -169,25 +194,41 @@ class SumOfSquaresPacker:
         return rows
 
     def finish(self) -> list[tuple]:
-        """Top up the fullest open windows from the emptiest; cut the last one at powers of two."""
+        """Fill up the fullest open windows with pieces cut from the emptiest; cut the last one at powers of two."""
         rows: list[tuple] = []
-        left = [(h, w) for h in sorted(self.open, reverse=True) for w in self.open[h]]
+        left = [(h, w) for h in sorted(self.open) for w in self.open[h]]
         self.open, self.counts[:] = {}, 0
-        pieces = [p for _, w in left for p in w]
-        total = sum(len(p[2]) // 4 for p in pieces)
-        sizes = [self.capacity] * (total // self.capacity)
-        rest = total % self.capacity
-        sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        source = iter(pieces)
-        piece = next(source, None)
-        for size in sizes:
-            window: list = []
+        low, high = 0, len(left) - 1
+        spare: list = left[low][1] if left else []
+        while low < high:
+            level, window = left[high]
+            while level < self.capacity and low < high:
+                if not spare:
+                    low += 1
+                    spare = left[low][1]
+                    continue
+                key, start, ids, doc_tokens = spare.pop()
+                n = min(self.capacity - level, len(ids) // 4)
+                window.append((key, start, ids[: 4 * n], doc_tokens))
+                level += n
+                if 4 * n < len(ids):
+                    spare.append((key, start + n, ids[4 * n :], doc_tokens))
+            if low == high:  # the window itself has become the last
+                break
+            rows += self._close(window)
+            high -= 1
+        rest = sum(len(p[2]) // 4 for p in spare)
+        for b in range(self.capacity.bit_length() - 1, -1, -1):
+            if not rest >> b & 1:
+                continue
+            size, window = 1 << b, []
             while size:
-                key, start, ids, doc_tokens = piece
+                key, start, ids, doc_tokens = spare.pop()
                 n = min(size, len(ids) // 4)
                 window.append((key, start, ids[: 4 * n], doc_tokens))
                 size -= n
-                piece = (key, start + n, ids[4 * n :], doc_tokens) if 4 * n < len(ids) else next(source, None)
+                if 4 * n < len(ids):
+                    spare.append((key, start + n, ids[4 * n :], doc_tokens))
             rows += self._close(window)
         return rows
 
@@ -202,16 +243,14 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         kind, rows = None, []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = [[], [], [], [], [], [], []]
-            for (key, start, ids, doc_tokens), window, at in rows:
-                for c, v in zip(columns, (key, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, base + window, at)):
-                    c.append(v)
+            columns = [list(c) for c in zip(*rows)] or [[]] * 7
+            columns[5] = [base + w for w in columns[5]]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, ids in zip(batch.column(0).to_pylist(), ids_of.texts(batch.column(1).to_pylist())):
-                rows += packer.place(key, ids + end)
+            for key, ids in zip(batch.column(0), ids_of.texts(t.as_py() for t in batch.column(1))):
+                rows += packer.place(key.as_py(), ids + end)
                 if len(rows) >= 5000:
                     yield batch_of(rows)
                     rows = []

@@ -91,19 +91,39 @@ def test_packing_keeps_every_id_once():
         rows += packer.place(key, ids.tobytes())
     rows += packer.finish()
     seen, fill = {k: [] for k in docs}, {}
-    for (key, start, ids, total), window, at in rows:
+    for key, start, length, crc, total, window, at in rows:
         assert fill.get(window, 0) == at and total == len(docs[key])
-        fill[window] = at + len(ids) // 4
-        seen[key].append((start, ids))
+        assert crc == zlib.crc32(docs[key][start : start + length].tobytes())
+        fill[window] = at + length
+        seen[key].append((start, length))
     for key, parts in seen.items():
-        at, whole = 0, b""
-        for start, ids in sorted(parts):
+        at = 0
+        for start, length in sorted(parts):
             assert start == at
-            at, whole = at + len(ids) // 4, whole + ids
-        assert whole == docs[key].tobytes()
+            at += length
+        assert at == len(docs[key])
     assert all(n == 64 or n & (n - 1) == 0 for n in fill.values())
 
 
+def test_packing_keeps_open_windows_at_the_end():
+    packer, ids = packing.SumOfSquaresPacker(64), lambda n: b"\1\0\0\0" * n
+    for level, n in ((40, 3), (20, 1), (60, 2)):
+        packer.open[level] = [[(f"{level}.{k}", 0, ids(level), level)] for k in range(n)]
+    rows = packer.finish()
+    first = {w: (key, n) for key, _, n, _, _, w, at in rows if at == 0 and key[:2] in ("60", "40") and n == int(key[:2])}
+    # 2 x 60 and two of the 40s stay whole; the 20 and one of the 40s are what fills them
+    assert len(first) >= 4 and sum(r[2] for r in rows) == 3 * 40 + 20 + 2 * 60
+    assert len({r[5] for r in rows}) == 260 // 64 + bin(260 % 64).count("1")
+
+
+def test_word_memo_is_bounded(reference):
+    own = packing.WordIds(bpe.default_path(), memory=50 * packing.WordIds.ENTRY)
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) + " " + "long" * 40 for k in range(300)]
+    got = list(own.texts(iter(texts)))
+    assert [len(x) // 4 for x in got] == [len(reference.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert max(map(len, own.known)) <= own.LONGEST and len(own.known) + len(own.old) < 64 * 50 * 4
+
+
 def test_packing_query(spark, reference):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id bigint, text string, length string")
     rows = packing.pack_documents(df, bpe.default_path()).collect()
