@@ -16,7 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's own number: texts of 100 KB make a batch of 100 MB then, not 1 GB.
+BATCH_ROWS, SPARK_ROWS = 1000, "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, SPARK_ROWS) == SPARK_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     found = found or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found
@@ -39,16 +52,15 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -60,6 +72,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's size, with a middling one where it has none; reads nothing."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 60 else 1 << 32
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
