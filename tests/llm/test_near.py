@@ -59,7 +59,6 @@ def corpus():
 @pytest.mark.parametrize("bucket", [1024, 16])
 def test_shingle_join_equals_brute_force(spark, corpus, monkeypatch, bucket):
     monkeypatch.setattr(linking, "BUCKET", bucket)
-    monkeypatch.setattr(linking, "SMALL", bucket // 4)
     df = spark.createDataFrame([(i, t, 0) for i, t in corpus.items()], "doc_id bigint, text string, n int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()}
     assert got == brute_components(corpus)
@@ -71,7 +70,16 @@ def test_shingle_join_odd_rows(spark):
     assert got == [(-1, -1), (-1, 3), (3, 3), (5, 3), (5, 3)]
     assert jaccard.components(df.limit(0)).count() == 0
     kept = jaccard.keep_representatives(df)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {None, 3}
+    assert kept.columns == df.columns and sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (3, "A b c d e f")]
+
+
+def test_one_row_of_a_component_stays(spark):
+    line = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [("x", line, 1), ("x", line + " new", 2), (None, "0 " + line, 3), (None, "p q r s t v", 4), ("y", "", 5), ("y", "", 5), ("z", None, 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, k int").withColumnRenamed("k", "name")
+    kept = sorted(r.name for r in jaccard.keep_representatives(df).collect())
+    assert len(kept) == 4 and kept[0] in (1, 2) and kept[1:] == [4, 5, 6]
+    assert {r.name: r.component_id for r in jaccard.components(df.withColumn("name", df.name)).join(df, "doc_id").collect()}.get(1) == "x"
 
 
 def test_signature_tree_loses_no_pair():
@@ -84,7 +92,7 @@ def test_signature_tree_loses_no_pair():
             own[: rng.integers(0, 20)] = rng.integers(0, 2**63, 1, dtype=np.uint64)
             sets.append(np.unique(own))
     sets.sort(key=len)
-    bitmaps = np.stack([np.frombuffer(jaccard.fold(jaccard.describe(s)[2]), np.uint64) for s in sets])
+    bitmaps = np.stack([np.frombuffer(jaccard.fold(jaccard.describe(s)[2], 512), np.uint64) for s in sets])
     x, y = jaccard.SignatureTree(np.array([len(s) for s in sets]), bitmaps).pairs()
     found = set(zip(x.tolist(), y.tolist()))
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
@@ -126,12 +134,8 @@ def test_word_hashes_follow_the_words():
 
 
 def brute_lines(docs):
-    """Kept lines by comparing all pairs of lines."""
-    lines = []
-    for i in sorted(docs):
-        _, number, h, sim = line_dedup.line_hashes([docs[i]])
-        own = line_dedup.normalised(docs[i]).split(b"\n")
-        lines += [(i, n, int(x), int(s), b" ".join(own[n].split()).decode()) for n, x, s in zip(number.tolist(), h, sim)]
+    """Lost lines by the edit similarity of all pairs of lines."""
+    lines = [(i, n, x.decode("utf-8", "replace")) for i in sorted(docs) for n, x in enumerate(line_dedup.normalised(docs[i])) if x]
     root = list(range(len(lines)))
 
     def find(i):
@@ -147,11 +151,10 @@ def brute_lines(docs):
                 last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (ca != cb))
         return row[-1]
 
-    for x, a in enumerate(lines):
+    for x, (*_, a) in enumerate(lines):
         for y in range(x + 1, len(lines)):
-            b = lines[y]
-            near = a[2] == b[2] or bin((a[3] ^ b[3]) & (2**64 - 1)).count("1") <= line_dedup.MAX_BITS and distance(a[4], b[4]) <= int(0.2 * max(len(a[4]), len(b[4])) + 1e-9)
-            if near:
+            b = lines[y][2]
+            if a == b or 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * distance(a, b) <= max(len(a), len(b)):
                 p, q = find(x), find(y)
                 root[max(p, q)] = min(p, q)
     lost = {}
@@ -161,25 +164,56 @@ def brute_lines(docs):
     return lost
 
 
-def test_lines_equal_brute_force(spark):
-    rng = random.Random(6)
-    base = [" ".join(words(rng, rng.randrange(5, 60))) for _ in range(12)]
+def fuzzy_docs(rng, n):
+    base = [" ".join(words(rng, rng.randrange(3, 60))) for _ in range(12)]
     docs = {}
-    for i in range(25):
+    for i in range(n):
         own = []
         for _ in range(rng.randrange(1, 5)):
             line = rng.choice(base).split()
-            if rng.random() < 0.5:
+            for _ in range(rng.randrange(0, 1 + len(line) // 15)):
+                line[rng.randrange(len(line))] = rng.choice(["q", "changed", ""])
+            if rng.random() < 0.3:
                 line[rng.randrange(len(line))] += "q"
             own.append(" ".join(line).capitalize() + rng.choice(["", ".", " 12", "!"]))
         docs[i] = "\n".join([*own, "short one", ""])
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id bigint, text string, line string")
-    got = line_dedup.drop_repeated_lines(df).collect()
+    return docs
+
+
+@pytest.mark.parametrize(("gathered", "bucket", "lags"), [(8, 4096, 64), (1, 16, 3)])
+def test_lines_equal_brute_force(spark, monkeypatch, gathered, bucket, lags):
+    monkeypatch.setattr(line_dedup, "GATHERED", gathered)
+    monkeypatch.setattr(line_dedup, "LAGS", lags)
+    monkeypatch.setattr(line_dedup, "DEALT", 1 << 14)
+    monkeypatch.setattr(line_dedup, "SIGNED", 1 << 11)
+    monkeypatch.setattr(linking, "BUCKET", bucket)
+    docs = fuzzy_docs(random.Random(6), 40)
+    df = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in docs.items()], "doc_id bigint, text string, line string, _id int, id int, component int")
+    got = line_dedup.drop_repeated_lines(df)
+    assert got.columns == [*df.columns, "removed_lines"]
     lost = brute_lines(docs)
     assert sum(map(len, lost.values())) > 10
-    for r in got:
+    for r in got.collect():
         assert set(r.removed_lines) == lost.get(r.doc_id, set())
         assert r.text == "\n".join(x for k, x in enumerate(docs[r.doc_id].split("\n")) if k not in r.removed_lines)
+        assert (r._id, r.id, r.component) == (1, 2, 3)
+
+
+def test_pairs_of_groups():
+    """paired() names near pairs only, one with an earlier row for each row, and the rows of groups with more."""
+    rng = np.random.default_rng(5)
+    g = np.sort(rng.integers(0, 40, 600))
+    sim = rng.integers(0, 4, 600).astype(np.uint64) * np.uint64(0x1111111111111111) * np.uint64(3)
+    size, node = np.full(600, 100, np.uint16), np.arange(600)
+    i, j, more = line_dedup.paired(g, node, sim, size)
+    assert (g[i] == g[j]).all() and (i < j).all() and len(set(j.tolist())) == len(j) and line_dedup.near(sim, size, i, j).all()
+    for k in range(40):
+        rows = np.flatnonzero(g == k).tolist()
+        all_pairs = [(x, y) for x in rows for y in rows if x < y and line_dedup.near(sim, size, np.array([x]), np.array([y]))[0]]
+        own = [p for p in zip(i.tolist(), j.tolist()) if g[p[0]] == k]
+        assert set(own) <= set(all_pairs)
+        if len(all_pairs) > len(own):
+            assert {x for p in all_pairs for x in p} <= set(more.tolist())
 
 
 def test_edit_distance():
@@ -207,10 +241,43 @@ def test_lines_odd_rows(spark):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
-def test_block_plan_has_enough_bits():
-    for n in (0, 10, 10**6, 10**8, 10**10):
-        blocks, match = line_dedup.plan(n)
-        assert blocks == match + line_dedup.MAX_BITS and (match == 5 or 64 * match / blocks >= n.bit_length() + 2)
+def test_few_edits_and_similar():
+    rng = random.Random(13)
+    for _ in range(300):
+        a = "".join(rng.choice("ab c") for _ in range(rng.randrange(60)))
+        b = "".join(c for c in a if rng.random() > 0.1) + rng.choice(["", "ab"])
+        d = line_dedup.edit_distance(a, b)
+        assert [line_dedup.few_edits(a, b, k) for k in (d - 1, d, d + 3) if k >= 0] == [False, True, True][-(3 if d else 2) :]
+        assert line_dedup.similar(a, b) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    pairs = []
+    for _ in range(600):
+        a = "".join(rng.choice("abcdefghijkl é中 ") for _ in range(rng.choice([3, 12, 64, 65, 130, 400, 700])))
+        rate = rng.choice([0, 0.1, 0.19, 0.22, 0.6])
+        if len(pairs) >= 300:  # more characters than a table has
+            a = "".join(chr(0x4E00 + 3 * rng.randrange(400)) if rng.random() < 0.5 else c for c in a)
+        pairs.append((a, "".join(rng.choice([c + "x", "", "y", " "]) if rng.random() < rate else c for c in a)))
+    got = line_dedup.all_similar([a for a, _ in pairs], [b for _, b in pairs])
+    want = [line_dedup.edit_distance(a, b) <= line_dedup.allowed(a, b) for a, b in pairs]
+    assert got.tolist() == want and 100 < sum(want) < 500
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1 << 20))
+    assert line_dedup.similar(long, long[:1000] + "x" + long[1003:500_000] + long[500_010:] + "end")
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(3)
+    value, first = rng.integers(0, 2**63, 3000, dtype=np.uint64), np.array([0, 1, 400, 655, 910, 2990])
+    count = np.diff(np.r_[first, len(value)])
+    bits = np.unpackbits(value.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    assert (line_dedup.bit_counts(value, first, count) == np.add.reduceat(bits, first, axis=0)).all()
+
+
+def test_signatures_do_not_depend_on_neighbours():
+    lines = [b"one two three four", b"x", "\u8fd9\u662f\u4e00\u884c".encode(), b"a" * 300, b"one two three four five six seven eight nine"]
+    for n, every in ((4, True), (6, False)):
+        sims, keys = line_dedup.signatures(lines, n, every)
+        for k, x in enumerate(lines):
+            s, own = line_dedup.signatures([x], n, every)
+            assert s[0] == sims[k] and (own[0] == keys[k]).all()
 
 
 def test_short_and_unspaced_lines_are_joined(spark):
@@ -224,13 +291,13 @@ def test_short_and_unspaced_lines_are_joined(spark):
 def test_lines_of_one_edit_meet(spark):
     rng = random.Random(21)
     docs, pairs = {}, 40
-    for i in range(pairs):  # one letter more in one word, beyond MAX_BITS of SimHash in most lines
+    for i in range(pairs):  # one letter more in one word
         line = [rng.choice("abcdefghijklmnopqrstuvwxyz") + w for w in words(rng, rng.randrange(2, 60))]
         docs[i] = " ".join(line)
         line[rng.randrange(len(line))] += "q"
         docs[1000 + i] = " ".join(line)
     docs[2000], docs[2001] = "abcde", "abxde"
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    got = {r.doc_id for r in line_dedup.drop_repeated_lines(df, grams=True).collect() if r.removed_lines}
+    got = {r.doc_id for r in line_dedup.drop_repeated_lines(df).collect() if r.removed_lines}
     assert 2001 in got and got <= {*range(1000, 1000 + pairs), 2001}
     assert len(got) >= 0.97 * pairs
