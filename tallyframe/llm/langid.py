@@ -179,7 +179,7 @@ def keep_identified(df: DataFrame, model: LanguageModel, least: float = 0.5, tex
         texts = batch.column(batch.schema.get_field_index(text_col))
         return batch.filter(pa.array([label != UNDETERMINED and p >= least for label, p in (model.predict(t.as_py()) for t in texts)], pa.bool_()))
 
-    return df.mapInArrow(lambda batches: (run(b) for b in batches), df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, estimated_bytes, table
+from .common import Scratch, estimated_bytes, map_arrow, table
 from .hashing import ODD, mix
 from .linking import across_components, connected_components, sized
 
@@ -267,7 +267,7 @@ def dealt(docs: DataFrame, parts: int) -> DataFrame:
         if any(len(r) for _, r in held):
             yield out()
 
-    return docs.mapInArrow(run, "part bigint, gathered boolean, rows binary")
+    return map_arrow(docs, run, "part bigint, gathered boolean, rows binary")
 
 
 def met(packed: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def met(packed: DataFrame) -> DataFrame:
                 held.append(rows.as_py())
         yield from whole()
 
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint, g bigint, node bigint, sim bigint, size bigint")
+    return map_arrow(packed.repartition("part").sortWithinPartitions("part"), run, "a bigint, b bigint, g bigint, node bigint, sim bigint, size bigint")
 
 
 def search(cols: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -351,7 +351,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(h, pa.int64())], ["id", "k", "line", "h"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k bigint, line int, h bigint")
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, k bigint, line int, h bigint")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -371,7 +371,7 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scra
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.string())], ["h", "line_text"])
 
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))
-    found = docs.join(sized(places, 64 + 24 * F.size("at")), same).select("text", "at").mapInArrow(run, "h bigint, line_text string")
+    found = map_arrow(docs.join(sized(places, 64 + 24 * F.size("at")), same).select("text", "at"), run, "h bigint, line_text string")
     found = scratch.keep(found.groupBy("h").agg(F.first("line_text").alias("line_text")))  # rows of one id and one text
     scratch.drop(places)
     return found
@@ -591,7 +591,7 @@ def groups_of_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> Data
     def verify(pairs: DataFrame) -> DataFrame:
         text = lambda c: texts.select(F.col("h").alias(c), F.col("line_text").alias(f"_{c}"))
         joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "_a", "_b")
-        return scratch.keep(joined.mapInArrow(check, "a bigint, b bigint"))
+        return scratch.keep(map_arrow(joined, check, "a bigint, b bigint"))
 
     pairs = scratch.keep(both.filter("a is not null").select("a", "b").distinct())
     groups = both.filter("a is null").select("g", "node", "sim", "size")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_arrow
 
 #: Members of a bucket that are searched together.
 BUCKET = 4096
@@ -134,7 +134,7 @@ def searched(rows: DataFrame, search: Search, one_each: bool) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held))
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(rows.repartition("unit").sortWithinPartitions("unit"), run, "a bigint, b bigint")
 
 
 def merged(parts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,23 +1,25 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Every token belongs to one class: the most frequent tokens have a class of
-their own, all others share ``HASHED`` classes by their last bytes.  The
-model predicts the next class from the ``CONTEXT`` classes before it,
-
-    h = sum_k c_k * r(class_k),   s(class) = h . q(class) + b(class),
-
-and a token within a shared class has its add-one share there.  Scores are
-normalised over all classes with one matrix product per batch, so that the
-probabilities of all known tokens and of one unknown token per shared class
-sum to 1.
-
-Training goes over every token of the training documents: each partition
-runs noise-contrastive estimation from common starting values (noise from
-the class frequencies, shared within a batch), and the parameters are
-averaged with token weights by a distributed sum; their number is fixed.
-Token counts are a distributed sum as well.  The most frequent
-``LISTED`` tokens are sent to the executors; the counts of all others are
-joined.
+Every word that the training tokens hold ``MIN_COUNT`` times or more has
+vectors of its own (the most frequent ``MAX_WORDS``, which bounds what is sent
+to the executors), so their number grows with the corpus.  Words are dealt to
+classes by frequency, about as many classes as the root of their number; every
+class has one more outcome for the rarer words whose endings fall to it.  The
+model predicts class and word from the ``CONTEXT`` outcomes before them,
+
+    h = sum_k c_k * r(outcome_k),   s(x) = h . q(x) + b(x),
+
+once over all classes and once over the words of the class, and a rarer word
+has its add-one share within its class's outcome.  Both steps are normalised
+with batched matrix products, so that the probabilities of all known tokens
+and of one unknown token per class sum to 1.
+
+Texts are tokenised twice, to count and to number; the numbers are kept.
+Training goes over every token of the training documents: documents are dealt
+to shards by a hash, as many as the tokens ask for, and each shard runs
+noise-contrastive estimation (noise from the frequencies, shared within a
+batch) from common values; parameters are averaged with token weights after each of ``ROUNDS`` parts.  Neither shards
+nor their order depend on the partitions of the input, so nor does the model.
 
 Cases: a null or empty text is one end token; words are what is left between
 the white space of the contract after lower-casing A-Z; without training
@@ -32,21 +34,28 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, table
+from .common import Scratch, crc_mod, map_arrow, table
 
-OWN_CLASSES, HASHED, WIDTH, CONTEXT = 191, 192, 16, 4
-END_CLASS = 0
+WIDTH, CONTEXT = 16, 4
+MIN_COUNT, MAX_WORDS = 32, 60_000
 LISTED = 200_000
 #: Distinct tokens counted at once in a task.
 COUNTED = 200_000
-NOISE, BATCH = 32, 2048
+#: Noise classes and noise words, shared within a batch; tokens of a batch.
+NOISE, BATCH = 64, 2048
+RATE = 0.08
+#: Tokens that a shard should have, the most shards, and the parts between averages.
+SHARD_TOKENS, MAX_SHARDS, ROUNDS = 4 << 20, 4096, 4
+#: Parameters that travel together; tokens that are scored together.
+CHUNK, SCORED = 1 << 16, 1 << 16
 #: No word holds white space, so this is no word.
 END = b" "
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -57,43 +66,60 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shared_class(word: bytes) -> int:
-    """One of the hashed classes, by a word's last bytes and what follows them."""
+def ending(word: bytes) -> int:
+    """A hash of a word's last bytes and what follows them."""
     body = word.rstrip(_MARKS)
     n = len(body)
-    return zlib.crc32(word[max(0, n - 3) : n + 1]) % HASHED
+    return zlib.crc32(word[max(0, n - 3) : n + 1])
 
 
 class Listed(dict):
-    """Place of a listed word; a word that is not listed gives the number of places plus its class."""
+    """Place of a listed word; -1 for others."""
 
     def __missing__(self, word: bytes) -> int:
-        return len(self) + 1 + OWN_CLASSES + shared_class(word)
+        return -1
 
 
 @dataclass
 class Vocabulary:
+    """Outcomes are the end (0), the words with vectors (1 ..), and last the rarer words of each class."""
+
     listed: Listed  # word -> place; places from the most frequent on
     counts: np.ndarray  # of the listed
-    classes: np.ndarray  # of the listed
-    own: int  # so many places have classes of their own
-    class_tokens: np.ndarray  # of all classes
-    class_types: np.ndarray
+    own: int  # so many places have vectors
+    class_of: np.ndarray  # of every outcome
+    frequency: np.ndarray  # training tokens of every outcome
+    rare_tokens: np.ndarray  # of every class
+    rare_types: np.ndarray
+    end: int
     tokens: int
     types: int
+    listed_class: np.ndarray  # where a listed word's rarer ones would be
 
     @property
     def n_classes(self) -> int:
-        return 1 + OWN_CLASSES + HASHED
+        return len(self.rare_tokens)
+
+    @property
+    def size(self) -> int:
+        return 1 + self.own + self.n_classes
+
+    def rare_class(self, word: bytes) -> int:
+        return 1 + ending(word) % (self.n_classes - 1)
+
+    def shares(self) -> np.ndarray:
+        """log10 of what the add-one counts of each class's rarer words are divided by."""
+        return np.log10(np.maximum(1, self.rare_tokens + self.rare_types + 1))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of listed words; len(listed) + class of the others."""
-        return np.fromiter(map(self.listed.__getitem__, words), np.int64, len(words))
 
-    def classes_of(self, ids: np.ndarray) -> np.ndarray:
-        n = len(self.listed)
-        known = ids < n
-        return np.where(known, self.classes[np.where(known, ids, 0)] if n else 0, ids - n)
+def classes_for(counts: np.ndarray) -> np.ndarray:
+    """The class (from 1) of each word, most frequent first: equal sums of the roots of counts."""
+    n = len(counts)
+    if not n:
+        return np.zeros(0, np.int64)
+    wanted = max(1, math.isqrt(n))
+    mass = np.cumsum(np.sqrt(counts))
+    return 1 + np.minimum((mass - np.sqrt(counts)) / mass[-1] * wanted, wanted - 1).astype(np.int64)
 
 
 def count_tokens(df: DataFrame, text_col: str) -> DataFrame:
@@ -115,128 +141,173 @@ def count_tokens(df: DataFrame, text_col: str) -> DataFrame:
         if counts:
             yield out()
 
-    return df.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(df.select(text_col), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _class_udf_column(counts: DataFrame) -> DataFrame:
+def with_endings(counts: DataFrame) -> DataFrame:
+    """(word, n) -> (word, n, ending)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = [shared_class(w.as_py()) for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int32())], ["word", "n", "shared"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([ending(w.as_py()) for w in batch.column(0)], pa.int64())], ["word", "n", "ending"])
 
-    return counts.mapInArrow(run, "word binary, n bigint, shared int")
+    return map_arrow(counts, run, "word binary, n bigint, ending bigint")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From a kept table (word, n, shared)."""
-    top = counts.orderBy(F.desc("n"), "word").limit(LISTED).toArrow()
-    words, n, shared = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64), top.column("shared").to_numpy()
-    size = 1 + OWN_CLASSES + HASHED
-    tokens, types = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for r in counts.filter(F.col("word") != F.lit(bytearray(END))).groupBy("shared").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
-        tokens[1 + OWN_CLASSES + r["shared"]], types[1 + OWN_CLASSES + r["shared"]] = r["n"], r["types"]
-    total, n_types = int(tokens.sum()), int(types.sum())
-    end = words.index(END) if END in words else None
-    if end is not None:
-        total, n_types = total + int(n[end]), n_types + 1
-        tokens[END_CLASS], types[END_CLASS] = n[end], 1
-        words.pop(end)
-        n, shared = np.delete(n, end), np.delete(shared, end)
-    own = min(OWN_CLASSES, len(words))
-    classes = 1 + OWN_CLASSES + shared.astype(np.int64)
-    np.subtract.at(tokens, classes[:own], n[:own])
-    np.subtract.at(types, classes[:own], 1)
-    classes[:own] = 1 + np.arange(own)
-    tokens[1 : 1 + own], types[1 : 1 + own] = n[:own], 1
-    return Vocabulary(Listed(zip(words, range(len(words)))), n, classes, own, tokens, types, total, n_types)
+    """From a kept table (word, n, ending) of the training tokens."""
+    top = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("n"), "word").limit(LISTED).toArrow()
+    words, n, endings = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64), top.column("ending").to_numpy()
+    own = min(MAX_WORDS, int((n >= MIN_COUNT).sum()))
+    of_words = classes_for(n[:own])
+    n_classes = 2 + int(of_words.max(initial=0))
+    rare_tokens, rare_types = np.zeros(n_classes, np.int64), np.zeros(n_classes, np.int64)
+    total = counts.groupBy(F.when(F.col("word") == F.lit(bytearray(END)), -1).otherwise(F.pmod("ending", F.lit(n_classes - 1))).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
+    end = sum(r["n"] for r in total if r["c"] < 0)
+    for r in total:
+        if r["c"] >= 0:
+            rare_tokens[1 + r["c"]], rare_types[1 + r["c"]] = r["n"], r["types"]
+    tokens, types = int(rare_tokens.sum()) + end, int(rare_types.sum()) + (end > 0)
+    at = 1 + endings[:own] % (n_classes - 1)
+    np.subtract.at(rare_tokens, at, n[:own])
+    np.subtract.at(rare_types, at, 1)
+    frequency = np.concatenate([[end], n[:own], rare_tokens])
+    class_of = np.concatenate([[0], of_words, np.arange(n_classes)]).astype(np.int64)
+    return Vocabulary(Listed(zip(words, range(len(words)))), n, own, class_of, frequency, rare_tokens, rare_types, end, tokens, types, 1 + endings % (n_classes - 1))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """Overwrites x."""
+    np.clip(x, -20, 20, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class LogBilinear:
-    def __init__(self, frequencies: np.ndarray, seed: int = 5):
-        size = len(frequencies)
+    """class_of: the class of every outcome; frequency: how often the training tokens hold it."""
+
+    NAMES = ("seen", "classes", "words", "mix")  # the last column of classes and words is the bias
+
+    def __init__(self, class_of: np.ndarray, frequency: np.ndarray, seed: int = 5):
+        n, size = int(class_of.max()) + 1, len(class_of)
         rng = np.random.default_rng(seed)
-        self.noise = (frequencies + 0.5) / (frequencies + 0.5).sum()
-        self.seen = rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32)
-        self.next = rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32)
+        normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.class_of = class_of
+        mass = np.bincount(class_of, frequency, n) + 0.5
+        self.class_noise = mass / mass.sum()
+        own = frequency + 0.5
+        self.word_noise = own / own.sum()
+        # outcomes by class
+        self.order = np.argsort(class_of, kind="stable")
+        self.begin = np.searchsorted(class_of[self.order], np.arange(n + 1))
+        self.drawn = [np.cumsum(p) for p in (self.class_noise, self.word_noise)]
+        self.seen, self.classes, self.words = normal(size, WIDTH), normal(n, WIDTH + 1), normal(size, WIDTH + 1)
+        self.classes[:, -1], self.words[:, -1] = np.log(self.class_noise), np.log(self.word_noise)
         self.mix = np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32)
-        self.bias = np.log(self.noise).astype(np.float32)
+        self.logs = [np.log(NOISE * p).astype(np.float32) for p in (self.class_noise, self.word_noise)]
+        self.squares = [np.zeros_like(p) for p in self.parameters()]
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.seen, self.next, self.mix, self.bias]
+        return [getattr(self, x) for x in self.NAMES]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parameters()])
+        """Parameters and the sums of their squared gradients."""
+        return np.concatenate([p.ravel() for p in (*self.parameters(), *self.squares)])
 
     def set_flat(self, values: np.ndarray) -> None:
         at = 0
-        for p in self.parameters():
+        for p in (*self.parameters(), *self.squares):
             p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        """contexts: CONTEXT x n classes, the nearest first."""
-        h = self.seen[contexts[0]] * self.mix[0]
+        """contexts: CONTEXT x n outcomes, the nearest first; a last column of ones meets the biases."""
+        h = np.ones((contexts.shape[1], WIDTH + 1), np.float32)
+        own = h[:, :-1]
+        np.multiply(self.seen[contexts[0]], self.mix[0], out=own)
         for k in range(1, CONTEXT):
-            h += self.seen[contexts[k]] * self.mix[k]
+            own += self.seen[contexts[k]] * self.mix[k]
         return h
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1024) -> np.ndarray:
-        """Natural logarithms, normalised over all classes."""
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """Natural logarithms of the targets' probabilities, normalised over classes and over each class's outcomes."""
         out = np.empty(len(targets), np.float32)
-        weights = np.concatenate([self.next, self.bias[:, None]], 1).T.copy()
-        longest, highest = np.sqrt((self.next**2).sum(1).max()), np.abs(self.bias).max()
+        place = np.empty(len(self.class_of), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        by_class = self.words[self.order]
+        longest = math.sqrt(max(float((w**2).sum(1).max(initial=0)) for w in (self.classes, self.words)))
         for k in range(0, len(targets), step):
             t = targets[k : k + step]
-            h = np.ones((len(t), WIDTH + 1), np.float32)
-            h[:, :-1] = self.hidden(contexts[:, k : k + step])
-            s = h @ weights
-            picked = s[np.arange(len(t)), t]
-            if np.sqrt((h[:, :-1] ** 2).sum(1).max()) * longest + highest > 80:  # the exponentials could overflow
-                top = s.max(1)
-                s -= top[:, None]
-                picked -= top
-            np.exp(s, out=s)
-            out[k : k + step] = picked - np.log(s.sum(1))
+            c = self.class_of[t]
+            order = np.argsort(c.astype(np.int16), kind="stable")
+            h = self.hidden(contexts[:, k : k + step][:, order])
+            safe = math.sqrt(float((h**2).sum(1).max(initial=0))) * longest < 80  # no exponential overflows
+            c, t = c[order], t[order]
+            got = np.empty(len(t), np.float32)
+            for a in range(0, len(t), 1024):
+                got[a : a + 1024] = _log_share(h[a : a + 1024] @ self.classes.T, c[a : a + 1024], safe)
+            cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+            for a, b in zip(cuts, cuts[1:]):
+                low, high = self.begin[c[a]], self.begin[c[a] + 1]
+                if high - low == 1:
+                    continue
+                weights = by_class[low:high].T
+                wide = max(1, (1 << 19) // (high - low))
+                for i in range(a, b, wide):
+                    j = min(b, i + wide)
+                    got[i:j] += _log_share(h[i:j] @ weights, place[t[i:j]] - low, safe)
+            out[k + order] = got
         return out
 
-    def update(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray], rate: float) -> None:
-        """One AdaGrad step of noise-contrastive estimation on a batch."""
-        n, size = len(targets), len(self.noise)
-        noise = rng.choice(size, NOISE, p=self.noise)
-        log_kp = np.log(NOISE * self.noise).astype(np.float32)
+    def update(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator, rate: float) -> None:
+        """One AdaGrad step of noise-contrastive estimation on a batch: of classes, and of outcomes among all.
+
+        An outcome's score among all is its score within its class but for a number that the whole class shares.
+        """
+        n = len(targets)
         h = self.hidden(contexts)
-        true = np.einsum("nd,nd->n", h, self.next[targets]) + self.bias[targets] - log_kp[targets]
-        false = h @ self.next[noise].T + (self.bias[noise] - log_kp[noise])
-        g_true = (1 / (1 + np.exp(-np.clip(true, -20, 20))) - 1) / n
-        g_false = 1 / (1 + np.exp(-np.clip(false, -20, 20))) / n
-        gh = g_true[:, None] * self.next[targets] + g_false @ self.next[noise]
-        g_next = _scatter(targets, g_true[:, None] * h, size)
-        np.add.at(g_next, noise, g_false.T @ h)
-        g_bias = np.bincount(targets, g_true, size) + np.bincount(noise, g_false.sum(0), size)
-        g_seen, g_mix = np.zeros_like(self.seen), np.zeros_like(self.mix)
-        for k in range(CONTEXT):
-            g_seen += _scatter(contexts[k], gh * self.mix[k], size)
-            g_mix[k] = np.einsum("nd,nd->d", gh, self.seen[contexts[k]])
-        for p, g, sq in zip(self.parameters(), (g_seen, g_next, g_mix, g_bias), squares):
-            sq += g * g
-            p -= (rate * g / (np.sqrt(sq) + 1e-7)).astype(np.float32)
-
-
-def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of values by row."""
-    order = np.argsort(rows.astype(np.int16), kind="stable")  # a radix sort
+        gh, grads = np.zeros((n, WIDTH), np.float32), []
+        for k, own, vectors in ((0, self.class_of[targets], self.classes), (1, targets, self.words)):
+            noise = np.minimum(np.searchsorted(self.drawn[k], rng.random(NOISE)), len(vectors) - 1)
+            these, others, log_kp = vectors[own], vectors[noise], self.logs[k]
+            true = _sigmoid(np.einsum("nd,nd->n", h, these) - log_kp[own]) - 1
+            false = _sigmoid(h @ others.T - log_kp[noise])
+            gh += true[:, None] * these[:, :-1]
+            gh += false @ others[:, :-1]
+            grads.append(_scatter(np.concatenate([own, noise]), np.concatenate([true[:, None] * h, false.T @ h])))
+        grads = [_scatter(contexts.ravel(), (gh * self.mix[:, None]).reshape(-1, WIDTH)), *grads]
+        g_mix = np.stack([np.einsum("nd,nd->d", gh, self.seen[contexts[k]]) for k in range(CONTEXT)])
+        for p, (rows, g), sq in zip(self.parameters(), (*grads, (slice(None), g_mix)), self.squares):
+            g /= n
+            new = sq[rows] + g * g
+            sq[rows] = new
+            p[rows] -= rate * g / (np.sqrt(new) + 1e-7)
+
+
+def _log_share(scores: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """log softmax of every row at one place; overwrites scores."""
+    if not safe:
+        scores -= scores.max(1, keepdims=True)
+    picked = scores[np.arange(len(at)), at]
+    np.exp(scores, out=scores)
+    return picked - np.log(scores.sum(1))
+
+
+def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sums of their values)."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
     ordered = rows[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[ordered[starts]] = np.add.reduceat(values[order], starts)
-    return out
+    return ordered[starts], np.add.reduceat(values[order], starts)
 
 
 def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts CONTEXT x n, targets n) of documents of classes; each is preceded and ended by the end class."""
+    """(contexts CONTEXT x n, targets n) of documents of outcomes; each is preceded and ended by the end."""
     parts = []
     for d in documents:
-        parts += [np.zeros(CONTEXT, np.int64), d, np.zeros(1, np.int64)]
+        parts += [np.zeros(CONTEXT, np.uint16), d, np.zeros(1, np.uint16)]
     stream = np.concatenate(parts)
     lengths = np.array([len(d) + 1 for d in documents])
     first = np.cumsum(lengths + CONTEXT) - lengths
@@ -244,10 +315,9 @@ def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([stream[at - k] for k in range(1, CONTEXT + 1)]), stream[at]
 
 
-def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int, rate: float = 0.06) -> int:
-    """One pass over a stream of documents of classes; the number of tokens."""
+def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int, rate: float = RATE) -> int:
+    """One pass over a stream of documents of outcomes; the number of tokens."""
     rng = np.random.default_rng(seed)
-    squares = [np.zeros(p.shape, np.float32) for p in model.parameters()]
     held: list[np.ndarray] = []
     total = waiting = 0
 
@@ -256,7 +326,7 @@ def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int,
         order = rng.permutation(len(targets))
         for k in range(0, len(order), BATCH):
             ids = order[k : k + BATCH]
-            model.update(contexts[:, ids], targets[ids], rng, squares, rate)
+            model.update(contexts[:, ids], targets[ids], rng, rate)
 
     for d in documents:
         held.append(d)
@@ -270,106 +340,157 @@ def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int,
     return total
 
 
-def train(df: DataFrame, text_col: str, words, model: LogBilinear, rounds: int = 1) -> LogBilinear:
-    """Parameter averaging: every partition passes over all of its tokens from the same values."""
-    for turn in range(rounds):
+def numbered(df: DataFrame, words, learns: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: a document's outcomes and what its listed words give; and its words that are not listed.
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own = words.value
-            local = LogBilinear(own.class_tokens)
-            local.set_flat(start)
-            documents = (own.classes_of(own.ids(tokens_of(t.as_py()))) for batch in batches for t in batch.column(0))
-            n = train_stream(local, documents, 1000 * turn + TaskContext.get().partitionId())
-            if n:
-                values = local.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values * n), pa.array(np.full(len(values), float(n)))], ["i", "v", "n"])
-
-        start = model.flat()
-        got = df.select(text_col).mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-        if got.num_rows:
-            values = np.zeros(len(start))
-            values[got.column("i").to_numpy()] = got.column("v").to_numpy()
-            model.set_flat(values)
-    return model
-
-
-def score_documents(df: DataFrame, words, model_values: np.ndarray, counts: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row."""
+    Column ``learns`` of df says which documents train.
+    """
     kind = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "_learns", "_mark", "_row", "_ids", "n_tokens", "n_known", "base_score", "score", "_word", "_class", "_n"]
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Vocabulary = words.value
-        model = LogBilinear(own.class_tokens)
-        model.set_flat(model_values)
-        n_listed = len(own.listed)
         base_all = math.log10(max(1, own.tokens + own.types + 1))
-        share = np.log10(np.maximum(1, own.class_tokens + own.class_types + 1))
-        log_counts = np.log10(own.counts + 1.0)
-        within = log_counts - share[own.classes]
-        within[: own.own] = 0
-        end_count = int(own.class_tokens[END_CLASS])
+        log_counts, shares = np.log10(own.counts + 1.0), own.shares()
         row = TaskContext.get().partitionId() << 40
+        find = own.listed.__getitem__
+        class_of = own.listed_class
+        for batch in batches:
+            columns: list[list] = [[] for _ in kinds]
+            rare: list[tuple] = []
+            for text, learned, mark in zip(batch.column(1), batch.column(2), batch.column(3)):
+                d = tokens_of(text.as_py())
+                places = np.fromiter(map(find, d), np.int64, len(d))
+                ids = places + 1
+                listed_only = places >= own.own
+                there = places[listed_only]
+                ids[listed_only] = 1 + own.own + class_of[there]
+                within = (log_counts[there] - shares[class_of[there]]).sum()
+                odd = np.flatnonzero(places < 0).tolist()
+                if odd:
+                    unlisted = Counter(d[k] for k in odd)
+                    classes = {w: own.rare_class(w) for w in unlisted}
+                    ids[odd] = [1 + own.own + classes[d[k]] for k in odd]
+                    rare += [(row, w, classes[w], m) for w, m in unlisted.items()]
+                known = places[places >= 0]
+                n = len(d) + 1
+                base = log_counts[known].sum() + math.log10(own.end + 1) - n * base_all
+                for c, v in zip(columns, (learned.as_py(), mark.as_py(), row, ids.astype("<u2").tobytes(), n, len(known) + (own.end > 0), float(base), float(within), None, None, None)):
+                    c.append(v)
+                row += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+            if rare:
+                rows, spelling, classes, m = zip(*rare)
+                none = [None] * len(rare)
+                values = (none, none, rows, none, none, none, none, none, spelling, classes, m)
+                yield pa.RecordBatch.from_arrays([pa.array(none, batch.column(0).type), *(pa.array(c, t) for c, t in zip(values, kinds))], names)
+
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    schema = f"{id_col} {kind}, _learns boolean, _mark bigint, _row bigint, _ids binary, n_tokens bigint, n_known bigint, base_score double, score double, _word binary, _class int, _n bigint"
+    return map_arrow(df.select(F.col(id_col), F.col(text_col), F.col(learns).alias("_learns"), mark.alias("_mark")), run, schema)
+
+
+def train(documents: DataFrame, words, scratch: Scratch) -> np.ndarray:
+    """Parameters after one pass over kept documents (_mark, _ids): shards by hash, averages after each of ROUNDS parts."""
+    own: Vocabulary = words.value
+    class_of, frequency = own.class_of, own.frequency
+    values = LogBilinear(class_of, frequency).flat()
+    shards = max(1, min(MAX_SHARDS, own.tokens // SHARD_TOKENS))
+    spark = documents.sparkSession
+
+    def learn(given, turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out(shard: int, stream: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                model = LogBilinear(class_of, frequency)
+                model.set_flat(given.value)
+                n = train_stream(model, stream, MAX_SHARDS * turn + shard)
+                after = model.flat()
+                for k in range(0, len(after), CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([float(n)]), pa.array([after[k : k + CHUNK].tobytes()])], ["at", "n", "part"])
+
+            rows = ((s.as_py(), np.frombuffer(i.as_py(), "<u2")) for batch in batches for s, i in zip(batch.column(0), batch.column(1)))
+            for shard, group in groupby(rows, lambda r: r[0]):
+                yield from out(shard, (ids for _, ids in group))
+
+        return run
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
         for batch in batches:
-            column = batch.column(1)
-            for at in range(0, len(column), 64):
-                part = column.slice(at, 64)
-                docs = [tokens_of(t.as_py()) for t in part]
-                ids = [own.ids(d) for d in docs]
-                contexts, targets = windows([own.classes_of(i) for i in ids])
+            for at, n, part in zip(*batch.columns):
+                held = sums.setdefault(at.as_py(), [0.0, 0.0])
+                held[0] += n.as_py()
+                held[1] = held[1] + n.as_py() * np.frombuffer(part.as_py(), np.float32).astype(np.float64)
+        for at, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], ["at", "n", "part"])
+
+    dealt = documents.select(F.pmod("_mark", F.lit(shards)).alias("shard"), "_ids", "_mark", F.pmod(F.shiftright("_mark", 20), F.lit(ROUNDS)).alias("turn"))
+    for turn in range(ROUNDS):
+        given = spark.sparkContext.broadcast(values)
+        part = dealt.filter(F.col("turn") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "_mark", "_ids").select("shard", "_ids")
+        learned = scratch.keep(map_arrow(part, learn(given, turn), "at bigint, n double, part binary"))
+        # sums in an order that does not depend on the layout
+        found = map_arrow(learned.repartition("at").sortWithinPartitions("at", "n", "part"), average, "at bigint, n double, part binary").toArrow()
+        values = values.copy()
+        for at, part in zip(found.column("at").to_pylist(), found.column("part").to_pylist()):
+            values[at : at + CHUNK] = np.frombuffer(part, np.float32)
+        scratch.drop(learned)
+        given.unpersist()
+    return values
+
+
+def scored(documents: DataFrame, words, parameters, id_col: str) -> DataFrame:
+    """Documents of ``numbered`` with their outcomes' log10 probabilities added to ``score``."""
+    kept = [id_col, "_row", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Vocabulary = words.value
+        model = LogBilinear(own.class_of, own.frequency)
+        model.set_flat(parameters.value)
+        for batch in batches:
+            got = np.zeros(batch.num_rows)
+            ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column("_ids")]
+            ends = np.cumsum([len(x) + 1 for x in ids])
+            at = 0
+            while at < len(ids):  # documents of SCORED tokens together
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORED, "right")))
+                contexts, targets = windows(ids[at:to])
                 logs = model.log_probabilities(contexts, targets).astype(np.float64) / math.log(10)
-                ends = np.cumsum([len(d) + 1 for d in docs])
-                sums = np.add.reduceat(logs, np.r_[0, ends[:-1]])
-                columns: list[list] = [[], [], [], [], [], [], [], []]
-                rare: list[tuple] = []
-                for k, (d, i) in enumerate(zip(docs, ids)):
-                    known = i[i < n_listed]
-                    n = len(d) + 1
-                    base = log_counts[known].sum() + math.log10(end_count + 1) - n * base_all
-                    for c, v in zip(columns, (row, n, len(known) + (end_count > 0), float(base), float(sums[k] + within[known].sum()), None, None, None)):
-                        c.append(v)
-                    if len(known) < len(d):
-                        odd = np.flatnonzero(i >= n_listed)
-                        places = (i[odd] - n_listed).tolist()
-                        rare += [(row, *key, m) for key, m in Counter((d[p], c) for p, c in zip(odd.tolist(), places)).items()]
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 64), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
-                if rare:
-                    rows, spelled, classes, m = zip(*rare)
-                    empty = [None] * len(rare)
-                    values = [pa.array(empty, batch.column(0).type), *(pa.array(c, t) for c, t in zip((rows, empty, empty, empty, empty, spelled, classes, m), kinds))]
-                    yield pa.RecordBatch.from_arrays(values, names)
-
-    names = [id_col, "_row", "n_tokens", "n_known", "base_score", "score", "_word", "_class", "_n"]
-    both = scratch.keep(df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, _row bigint, n_tokens bigint, n_known bigint, base_score double, score double, _word binary, _class int, _n bigint"))
-    own = words.value
-    shares = F.array(*(F.lit(float(math.log10(max(1, t + k + 1)))) for t, k in zip(own.class_tokens.tolist(), own.class_types.tolist())))
-    rare = both.filter("_word is not null").select("_row", "_word", "_class", "_n")
+                got[at:to] = np.add.reduceat(logs, np.r_[0, ends[at : to - 1] - (ends[at - 1] if at else 0)])
+                at = to
+            columns = [batch.column(c) for c in kept[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(got + batch.column("score").to_numpy())], kept)
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    return map_arrow(documents.select("_ids", *kept), run, f"{id_col} {kind}, _row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+
+
+def assess(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score, train_tokens) of all rows of df, under the model of the rows where ``learns``."""
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    docs = df.select(F.col(id_col), F.col(text_col), F.coalesce(learns, F.lit(False)).alias("_learns"))
+    counts = scratch.keep(with_endings(count_tokens(docs.filter("_learns"), text_col)))
+    words = spark.sparkContext.broadcast(vocabulary(counts))
+    own: Vocabulary = words.value
+    both = scratch.keep(numbered(docs, words, "_learns", id_col, text_col))
+    documents, rare = both.filter("n_tokens is not null"), both.filter("_word is not null").select("_row", "_word", "_class", "_n")
+    parameters = spark.sparkContext.broadcast(train(documents.filter("_learns"), words, scratch))
+    whole = scored(documents, words, parameters, id_col)
+    shares = F.array(*(F.lit(float(x)) for x in own.shares()))
     joined = rare.join(counts.select(F.col("word").alias("_word"), F.col("n").alias("_count")), "_word", "left")
     seen = F.coalesce("_count", F.lit(0))
     log_count = F.log10(seen + 1.0)
     more = joined.groupBy("_row").agg(
         F.sum(F.when(seen > 0, F.col("_n")).otherwise(0)).alias("_known"), F.sum(F.col("_n") * log_count).alias("_base"), F.sum(F.col("_n") * (log_count - shares[F.col("_class")])).alias("_score")
     )
-    whole = both.filter("n_tokens is not null").select(id_col, "_row", "n_tokens", "n_known", "base_score", "score").join(more, "_row", "left")
     add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return whole.select(id_col, "n_tokens", add("n_known", "_known"), add("base_score", "_base"), add("score", "_score"))
-
-
-def assess(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of ``df`` under the model of ``training``, with its number of tokens."""
-    spark = df.sparkSession
-    scratch = Scratch(spark)
-    counts = scratch.keep(_class_udf_column(count_tokens(training, text_col)))
-    words = spark.sparkContext.broadcast(vocabulary(counts))
-    model = train(training, text_col, words, LogBilinear(words.value.class_tokens))
-    scored = score_documents(df, words, model.flat(), counts, scratch, id_col, text_col)
-    return scored.withColumn("train_tokens", F.lit(words.value.tokens).cast("bigint"))
+    out = whole.join(more, "_row", "left").select(id_col, "n_tokens", add("n_known", "_known"), add("base_score", "_base"), add("score", "_score"))
+    return out.withColumn("train_tokens", F.lit(own.tokens).cast("bigint"))
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 7) == 2
-    scored = assess(docs, docs.filter(~held))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
+    return assess(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import default_path
-from .common import table
+from .common import map_arrow, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -57,7 +57,7 @@ class WordIds:
     #: Bytes of a longer word are not memoised; what an entry takes besides its word and ids.
     LONGEST, ENTRY = 48, 170
 
-    def __init__(self, path: str, memory: int = 40 << 20):
+    def __init__(self, path: str, memory: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -258,7 +258,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             yield batch_of(rows + packer.finish())
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, SCHEMA.format(kind).replace("doc_id", id_col, 1))
+    return map_arrow(df.select(id_col, text_col), run, SCHEMA.format(kind).replace("doc_id", id_col, 1))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ def keep_good(df: DataFrame, net: QualityNet, least: float = 0.5, text_col: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(_scores(net, batch.column(batch.schema.get_field_index(text_col))) >= least))
 
-    return df.mapInArrow(lambda batches: (run(b) for b in batches), df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyframe.llm import langid, lm, quality_net
+from tallyframe.llm.common import crc_mod
 
 ALPHABETS = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
 
@@ -78,13 +81,17 @@ def test_quality_without_labels(spark):
     assert quality_net.score_documents(docs, net).first().score == 0.5
 
 
-def test_language_model(spark, corpus):
+def test_language_model(spark, corpus, monkeypatch):
     rows = [(i, t, 1) for i, t, _ in corpus] + [(800, None, 1), (801, "", 1), (802, "unseen WORDS unseen", 1), (803, text_of(random.Random(1), "aa", 500), 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    from tallyframe.llm.common import crc_mod
-
-    got = {r.doc_id: r for r in lm.assess(df, df.filter(crc_mod("doc_id", 7) != 2)).collect()}
+    monkeypatch.setattr(lm, "MIN_COUNT", 4)
+    monkeypatch.setattr(lm, "LISTED", 300)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(lm, "BATCH", 128)
+    both = [{r.doc_id: r for r in lm.assess(df.repartition(k), crc_mod("doc_id", 7) != 2).collect()} for k in (1, 7)]
+    got = both[0]
+    assert all(math.isclose(got[i].score, both[1][i].score, rel_tol=1e-5) for i in got)  # whatever the partitions
     tokens = {i: [w.lower() for w in (t or "").split()] + [" "] for i, t, _ in rows}
     counts = Counter(w for i, ws in tokens.items() if not held(i) for w in ws)
     n, v = counts.total(), len(counts)
@@ -97,13 +104,37 @@ def test_language_model(spark, corpus):
     assert sum(got[i].score for i in own) > sum(got[i].base_score for i in own)
 
 
-def test_class_probabilities_sum_to_one():
-    frequencies = np.arange(1, 1 + 1 + lm.OWN_CLASSES + lm.HASHED)
-    model = lm.LogBilinear(frequencies)
-    rng = np.random.default_rng(1)
-    lm.train_stream(model, (rng.integers(0, len(frequencies), 50) for _ in range(40)), 1)
-    contexts = np.repeat(rng.integers(0, len(frequencies), (lm.CONTEXT, 1)), len(frequencies), 1)
-    assert abs(np.exp(model.log_probabilities(contexts, np.arange(len(frequencies)))).sum() - 1) < 1e-4
+def small_model():
+    counts = np.sort(np.random.default_rng(2).integers(5, 900, 60))[::-1]
+    of_words = lm.classes_for(counts)
+    n = 2 + of_words.max()
+    class_of = np.concatenate([[0], of_words, np.arange(n)])
+    return lm.LogBilinear(class_of, np.concatenate([[40], counts, np.full(n, 7)]))
+
+
+def test_probabilities_sum_to_one():
+    model = small_model()
+    rng, size = np.random.default_rng(1), len(model.class_of)
+    lm.train_stream(model, (rng.integers(0, size, 50) for _ in range(40)), 1)
+    contexts = np.repeat(rng.integers(0, size, (lm.CONTEXT, 1)), size, 1)
+    logs = model.log_probabilities(contexts, np.arange(size))
+    assert abs(np.exp(logs).sum() - 1) < 1e-4
+    # plainly, one outcome at a time
+    h = np.r_[sum(model.seen[contexts[k, 0]] * model.mix[k] for k in range(lm.CONTEXT)), 1]
+    for o in range(size):
+        c = model.class_of[o]
+        by_class = np.exp(model.classes @ h)
+        own = np.flatnonzero(model.class_of == c)
+        by_word = np.exp(model.words[own] @ h)
+        want = by_class[c] / by_class.sum() * by_word[own.tolist().index(o)] / by_word.sum()
+        assert math.isclose(logs[o], math.log(want), rel_tol=1e-4)
+
+
+def test_estimation_learns_a_pattern():
+    model = small_model()
+    lm.train_stream(model, (np.tile([3, 9, 30], 30) for _ in range(400)), 1)
+    contexts, targets = lm.windows([np.tile([3, 9, 30], 5)])
+    assert np.exp(model.log_probabilities(contexts, targets)[6:14]).min() > 0.5
 
 
 def test_windows_follow_documents():
@@ -116,4 +147,4 @@ def test_windows_follow_documents():
 
 def test_language_model_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert lm.assess(df, df).count() == 0
+    assert lm.assess(df, F.lit(True)).count() == 0
