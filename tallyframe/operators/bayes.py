@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import student_cdf
-from .frequentist import MAX_PROTOCOLS, pair_deltas
+from .frequentist import MAX_PROTOCOLS, bounded, pair_deltas
 
 DECIDED = 0.80
 
+#: Differences of a pair that the rank method holds as a square table.
+MAX_DIFFERENCES = 4000
+
 
 @dataclass
 class PairResult:
@@ -68,13 +71,25 @@ def signed_rank(differences: np.ndarray, rope: float, samples: int = 2000, seed:
 
 
 def matrix(scores: DataFrame, rope: float, method: str = "sinais", limit: float = DECIDED) -> list[dict]:
-    """Every ordered pair; the mirror is derived from the other direction."""
+    """Every ordered pair; the mirror is derived from the other direction.
+
+    Methods: "sinais" (signs), "postos" (signed ranks over a pair's differences, MAX_DIFFERENCES at most), "t" (correlated t).
+    """
+    if method not in ("sinais", "postos", "t"):
+        raise ValueError(f"unknown method {method!r}")
     if rope <= 0:
         raise ValueError("the rope must be positive")
-    rows = counts(pair_deltas(scores), rope).orderBy("a", "b").limit(MAX_PROTOCOLS**2).collect()
+    deltas = pair_deltas(scores)
+    rows = bounded(counts(deltas, rope).orderBy("a", "b"), MAX_PROTOCOLS**2)
     out = []
     for r in rows:
-        got = sign_test(r["wins"], r["ties"], r["losses"]) if method == "sinais" else correlated_t(r["n"], r["mean"], r["var"], rope)
+        if method == "sinais":
+            got = sign_test(r["wins"], r["ties"], r["losses"])
+        elif method == "postos":
+            own = bounded(deltas.filter((F.col("a") == r["a"]) & (F.col("b") == r["b"])).select("d"), MAX_DIFFERENCES)
+            got = signed_rank(np.sort([x[0] for x in own]), rope)
+        else:
+            got = correlated_t(r["n"], r["mean"], r["var"], rope)
         for x, y, result, mean in ((r["a"], r["b"], got, r["mean"]), (r["b"], r["a"], got.mirror(), -r["mean"])):
             out.append({"linha": x, "coluna": y, "n": r["n"], "metodo": method, "rope": rope, "p_esquerda": result.left, "p_rope": result.rope, "p_direita": result.right, "diferenca_media": mean, "classificacao": result.decided(limit), "probabilidade": max(result.left, result.rope, result.right)})
     return out

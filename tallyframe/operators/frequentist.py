@@ -11,9 +11,18 @@ from ..functions.distributions import chi2_sf, normal_sf, shapiro, studentized_r
 from .series import average_rank
 
 MIN_ROWS = 20
+#: Protocols whose table of pairs the driver holds.
 MAX_PROTOCOLS = 200
 
 
+def bounded(df: DataFrame, most: int) -> list:
+    """All rows of a small table; more than ``most`` are an error, never dropped."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: too many protocols for a table on the driver")
+    return rows
+
+
 def complete_rows(scores: DataFrame, n_protocols: int) -> DataFrame:
     """scores (doc, protocol, value): documents that have a value for every protocol."""
     own = scores.filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -33,7 +42,7 @@ def friedman_sums(scores: DataFrame) -> DataFrame:
 
 def friedman(scores: DataFrame) -> dict:
     """Chi-square with tie correction, p, Kendall's W and the mean ranks."""
-    rows = friedman_sums(scores).limit(MAX_PROTOCOLS).collect()
+    rows = bounded(friedman_sums(scores), MAX_PROTOCOLS)
     k, n = len(rows), rows[0]["n"] if rows else 0
     if k < 2 or not n:
         return {"chi2": math.nan, "p": math.nan, "w": math.nan, "ranks": {}}
@@ -124,7 +133,7 @@ def with_holm(df: DataFrame, p: str, order: list[str], by: list[str] = ()) -> Da
 
 def wilcoxon_holm(scores: DataFrame) -> list[dict]:
     """Every pair with its two-sided normal p and the Holm-adjusted one."""
-    rows = [r.asDict() for r in wilcoxon_sums(pair_deltas(scores)).orderBy("a", "b").limit(MAX_PROTOCOLS**2).collect()]
+    rows = [r.asDict() for r in bounded(wilcoxon_sums(pair_deltas(scores)).orderBy("a", "b"), MAX_PROTOCOLS**2)]
     p = [2 * normal_sf(r["z"]) if r["m"] else 1.0 for r in rows]
     return [r | {"p": x, "p_holm": y} for r, x, y in zip(rows, p, holm(p))]
 
@@ -157,7 +166,7 @@ def shapiro_of(df: DataFrame, value: str, most: int = 5000, seed: int = 42) -> t
 
 def run_stats(scores: DataFrame, alpha: float = 0.05) -> dict:
     """The whole battery on complete rows: too few rows say so; three protocols or more add Friedman and Nemenyi."""
-    names = [r[0] for r in scores.select("protocol").distinct().limit(MAX_PROTOCOLS).collect()]
+    names = [r[0] for r in bounded(scores.select("protocol").distinct(), MAX_PROTOCOLS)]
     own = complete_rows(scores, len(names))
     n = own.select("doc").distinct().count()
     if n < MIN_ROWS or len(names) < 2:

@@ -55,13 +55,14 @@ scored AS (
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, protocol, value): mean discount per supplier and line number."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
-    return li.groupBy(F.col("l_suppkey").cast("string").alias("doc"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("protocol")).agg(F.round(F.avg("l_discount"), 4).alias("value"))
+    li = table(spark, sf_dir, "lineitem")
+    units = F.sum(F.round(F.col("l_discount") * 100).cast("bigint"))  # whole units, so that sums are exact
+    return li.groupBy(F.col("l_suppkey").cast("string").alias("doc"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("protocol")).agg((units.cast("double") / (100 * F.count(F.lit(1)))).alias("value"))
 
 
 SCORES_SQL = """
-scores AS (SELECT l_suppkey::VARCHAR AS doc, 'p' || l_linenumber AS protocol, round(avg(l_discount), 4) AS value FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
-whole AS (SELECT * FROM scores WHERE doc IN (SELECT doc FROM scores GROUP BY doc HAVING count(DISTINCT protocol) = 4)),
+scores AS (SELECT l_suppkey::VARCHAR AS doc, 'p' || l_linenumber AS protocol, sum(round(l_discount * 100)::BIGINT)::DOUBLE / (100 * count(*)) AS value FROM lineitem GROUP BY 1, 2),
+whole AS (SELECT * FROM scores WHERE doc IN (SELECT doc FROM scores GROUP BY doc HAVING count(DISTINCT protocol) = (SELECT count(DISTINCT protocol) FROM scores))),
 ranked AS (SELECT *, rank() OVER (PARTITION BY doc ORDER BY value DESC) + (count(*) OVER (PARTITION BY doc, value) - 1) / 2 AS rank FROM whole)
 """
 

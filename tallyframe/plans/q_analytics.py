@@ -273,12 +273,13 @@ def agree_bootstrap(s, d):
 
 
 def _whole(s, d):
-    return frequentist.complete_rows(scores(s, d), 4)
+    own = scores(s, d)
+    return frequentist.complete_rows(own, own.select("protocol").distinct().count())
 
 
-@query(f"WITH {SCORES_SQL} SELECT protocol, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(avg(rank), 4) AS mean_rank, round(avg((value = 1)::INT), 4) AS share_one FROM ranked GROUP BY 1")
+@query(f"WITH {SCORES_SQL} SELECT protocol, count(*) AS n, round(avg(value), 9) AS mean, round(median(value), 9) AS median, round(avg(rank), 9) AS mean_rank, round(avg((value = 1)::INT), 9) AS share_one FROM ranked GROUP BY 1")
 def stats_ranking(s, d):
-    return frequentist.ranking(_whole(s, d)).select("protocol", "n", r("mean").alias("mean"), r("median").alias("median"), r("mean_rank").alias("mean_rank"), r("share_one").alias("share_one"))
+    return frequentist.ranking(_whole(s, d)).select("protocol", "n", *(r(c, 9).alias(c) for c in ("mean", "median", "mean_rank", "share_one")))
 
 
 @query(f"WITH {SCORES_SQL}, g AS (SELECT protocol, sum(rank) AS s, sum(rank * rank) AS q, count(*) AS n FROM ranked GROUP BY 1), t AS (SELECT max(n) AS n, count(*) AS k, (sum(s * s) - sum(s) ** 2 / count(*)) / max(n) AS b, (sum(q) - max(n) * count(*) * (count(*) + 1) ** 2 / 4) / (max(n) * (count(*) - 1)) AS w FROM g) SELECT n, k, round(b / w, 4) AS chi2, round(b / w / (n * (k - 1)), 4) AS kendall_w FROM t")

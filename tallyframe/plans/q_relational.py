@@ -82,28 +82,14 @@ def join_asof(s, d):
     return joins.asof_backward(left, e.filter("event_type = 'click'").select("user_id", "event_id", F.col("value").alias("seen")), "event_id", ["seen"], ["user_id"])
 
 
-@query("WITH s AS (SELECT (c_custkey * 40)::BIGINT AS lo, ((c_custkey + 1) * 40)::BIGINT AS hi, c_mktsegment FROM customer WHERE c_custkey < 100) SELECT o_orderkey, c_mktsegment FROM orders JOIN s ON o_orderkey >= lo AND o_orderkey < hi")
-def join_range(s, d):
-    spans = table(s, d, "customer").filter("c_custkey < 100").select((F.col("c_custkey") * 40).alias("lo"), ((F.col("c_custkey") + 1) * 40).alias("hi"), "c_mktsegment")
-    return joins.range_join(table(s, d, "orders").select("o_orderkey"), spans, "o_orderkey", "lo", "hi").select("o_orderkey", "c_mktsegment")
-
-
 @query("WITH s AS (SELECT (c_custkey * 40)::BIGINT AS lo, ((c_custkey + 1) * 40)::BIGINT AS hi, c_mktsegment FROM customer) SELECT o_orderkey, c_mktsegment FROM orders JOIN s ON o_orderkey >= lo AND o_orderkey < hi")
-def join_range_all(s, d):
-    """All customers' spans."""
+def join_range(s, d):
     spans = table(s, d, "customer").select((F.col("c_custkey") * 40).alias("lo"), ((F.col("c_custkey") + 1) * 40).alias("hi"), "c_mktsegment")
     return joins.range_join(table(s, d, "orders").select("o_orderkey"), spans, "o_orderkey", "lo", "hi").select("o_orderkey", "c_mktsegment")
 
 
-@query("WITH s AS (SELECT s_suppkey * 100 AS step, s_name FROM supplier) SELECT e.event_id AS step, s.s_name FROM (SELECT event_id FROM events WHERE event_id % 5 = 0) e ASOF LEFT JOIN s ON e.event_id >= s.step")
-def join_span_lookup(s, d):
-    spans = table(s, d, "supplier").select((F.col("s_suppkey") * 100).alias("begin"), "s_name")
-    return joins.span_lookup(table(s, d, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("step")), spans, "step", "begin", ["s_name"])
-
-
 @query("WITH s AS (SELECT s_suppkey * 100 AS step, s_name FROM supplier) SELECT e.event_id AS step, s.s_name FROM events e ASOF LEFT JOIN s ON e.event_id >= s.step")
-def join_span_lookup_all(s, d):
-    """All events."""
+def join_span_lookup(s, d):
     spans = table(s, d, "supplier").select((F.col("s_suppkey") * 100).alias("begin"), "s_name")
     return joins.span_lookup(table(s, d, "events").select(F.col("event_id").alias("step")), spans, "step", "begin", ["s_name"])
 
@@ -315,7 +301,7 @@ def messages_valid_json(s, d):
 
 
 TFIDF_SQL = r"""
-WITH q0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\w]+'), lambda w: length(w) > 1) AS w FROM benchmark WHERE item_id % 2 = 0),
+WITH q0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\w]+'), lambda w: length(w) > 1) AS w FROM benchmark),
 d0 AS (SELECT item_id AS doc, list_filter(regexp_split_to_array(lower(text), '[^\w]+'), lambda w: length(w) > 1) AS w FROM benchmark),
 dt AS (SELECT doc, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM d0),
 qt AS (SELECT item_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM q0),
@@ -332,13 +318,6 @@ SELECT item_id, doc, round(score, 4) AS score, place FROM (SELECT *, row_number(
 
 @query(TFIDF_SQL.replace("lower(text)", "lower(translate(text, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN'))"))
 def search_top_k(s, d):
-    b = table(s, d, "benchmark")
-    return search.top_k(b.filter("item_id % 2 = 0"), "item_id", b.withColumnRenamed("item_id", "doc"), "doc", "text", 3).select("item_id", "doc", r("score").alias("score"), "place")
-
-
-@query(ORACLE_SQL["search_top_k"].replace(" WHERE item_id % 2 = 0", ""))
-def search_top_k_all(s, d):
-    """All items as queries."""
     b = table(s, d, "benchmark")
     return search.top_k(b, "item_id", b.withColumnRenamed("item_id", "doc"), "doc", "text", 3).select("item_id", "doc", r("score").alias("score"), "place")
 

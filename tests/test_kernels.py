@@ -180,6 +180,29 @@ def test_whole_table_queries_reach_every_row(spark, sf_dir):
     ids = lambda name, column: {r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(column).collect()}
     keys, spans = ids("orders", "o_orderkey"), ids("customer", "c_custkey")
     got = lambda name, column: {r[0] for r in registry.QUERIES[name](spark, sf_dir).select(column).collect()}
-    assert got("join_range_all", "o_orderkey") == {k for k in keys if k // 40 in spans}
-    assert got("join_span_lookup_all", "step") == ids("events", "event_id")
-    assert got("search_top_k_all", "item_id") == ids("benchmark", "item_id")
+    assert got("join_range", "o_orderkey") == {k for k in keys if k // 40 in spans}
+    assert got("join_span_lookup", "step") == ids("events", "event_id")
+    assert got("search_top_k", "item_id") == ids("benchmark", "item_id")
+
+
+def test_bayes_methods(spark):
+    import random
+
+    from tallyframe.operators import bayes
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(f"d{i}", p, rng.random() + shift) for i in range(30) for p, shift in (("a", 0.5), ("b", 0.0))], "doc string, protocol string, value double")
+    for method in ("sinais", "postos", "t"):
+        first, second = bayes.matrix(df, 0.01, method)
+        assert first["metodo"] == method and abs(first["p_direita"] - second["p_esquerda"]) < 1e-12
+        assert max(first["p_esquerda"], first["p_direita"]) > 0.9
+    with pytest.raises(ValueError):
+        bayes.matrix(df, 0.01, "other")
+
+
+def test_bounded_tables_are_never_cut(spark):
+    from tallyframe.operators import frequentist
+
+    assert len(frequentist.bounded(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        frequentist.bounded(spark.range(6), 5)
