@@ -11,7 +11,6 @@ QUERIES = {
     "op4_lines": line_dedup.op4_lines,
     "op5_webp": webp.op5_webp,
     "op6_rules": quality_rules.op6_rules,
-    "op6_rules_lengths": quality_rules.op6_rules_lengths,
     "op7_packing": packing.op7_packing,
     "op8_language": langid.op8_language,
     "op9_quality": quality_net.op9_quality,
@@ -21,6 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": chat.OP1_SQL,
     "op6_rules": quality_rules.OP6_SQL,
-    "op6_rules_lengths": quality_rules.OP6_LENGTHS_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
 }

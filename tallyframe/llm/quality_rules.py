@@ -6,14 +6,16 @@ and the languages' common words plus one bin for all other words.  The
 references are the sums over all documents of a language.  The nearest
 language by words decides; a document fails when either distance is above
 its threshold.  Guards: the word distance counts from ``MIN_WORDS`` words on,
-the class distance from ``MIN_CHARS`` characters on.  With ``by_length`` the
-word distance counts from ``SHORT_WORDS`` words on, and its threshold grows as
-the words get fewer by the distance that sampling adds (its square falls with
-the number of words); from ``MIN_WORDS`` on both are the same.
+the class distance from ``MIN_CHARS`` characters on.  The threshold of the word
+distance grows as the words get fewer than ``FULL_WORDS``, by the distance that
+sampling adds (its square falls with the number of words).
 
 A word is common when it makes up 1/250 of its language's words or more, so
-there are at most 250 a language; languages count from 1/500 of all documents
-on, which bounds the tables that are collected and sent out.
+there are at most 250 a language; languages count from 1/500 of all words
+with a language on, which bounds the tables that are collected and sent out.
+Words of more than ``COMMON_BYTES`` bytes or in other than Latin letters fall
+into the bin for all other words, so a language in another script is judged by
+its character classes.
 
 Cases: a null or empty text has no words and fails the base rule; without
 references (an empty table, no language known) the divergence rules pass;
@@ -33,13 +35,13 @@ from .common import Scratch, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-COMMON_SHARE, LANGUAGE_SHARE = 1 / 250, 1 / 500
+COMMON_SHARE, LANGUAGES = 1 / 250, 500
 #: Longer words are never counted as common.
 COMMON_BYTES = 10
-MIN_WORDS, MIN_CHARS = 120, 200
+MIN_WORDS, FULL_WORDS, MIN_CHARS = 50, 120, 200
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.25
-#: Words from which ``by_length`` judges, and the sampling part of a squared distance times the number of words.
-SHORT_WORDS, SAMPLING = 50, 1.75
+#: The sampling part of a squared distance times the number of words.
+SAMPLING = 1.75
 #: Removed one after another; what is left is the last class.
 CLASSES = (
     ("space", SPACE), ("consonant", "[b-df-hj-np-tv-z]+"), ("vowel", "[aeiou]+"), ("letter", r"[^\x00-\x7F]+"), ("upper", "[A-Z]+"),
@@ -107,7 +109,9 @@ def common_words(df: DataFrame, text_col: str, lang_col: str) -> tuple[dict[str,
     counted = own.select("_lang", F.explode("_words").alias("_word")).groupBy("_lang", F.when(F.octet_length("_word") <= COMMON_BYTES, F.col("_word")).alias("_word")).count()
     scratch = Scratch(spark)
     counted = scratch.keep(counted)
-    totals = {r[0]: r[1] for r in counted.groupBy("_lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "_lang").limit(int(1 / LANGUAGE_SHARE)).collect()}
+    each = counted.groupBy("_lang").agg(F.sum("count").alias("n"))
+    every = each.agg(F.sum("n")).first()[0] or 0
+    totals = {r[0]: r[1] for r in each.filter(F.col("n") * LANGUAGES >= every).collect()}
     least = reduce(lambda c, x: c.when(F.col("_lang") == x[0], F.lit(math.ceil(x[1] * COMMON_SHARE))), totals.items(), F.when(F.lit(False), F.lit(0)))
     found = counted.filter((F.col("count") >= least) & F.col("_word").rlike(r"^[a-zÀ-ɏ]+$")).collect() if totals else []
     scratch.drop(counted)
@@ -152,7 +156,7 @@ def word_distance(runs: Column, n_words: Column, shares: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), whole))
 
 
-def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, by_length: bool = False) -> DataFrame:
+def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Id, the counts of the base rules, both distances of the nearest language, its name, base_failed and kept."""
     totals, counts = common_words(df, text_col, lang_col)
     weight: dict[str, int] = {}
@@ -178,9 +182,8 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     measured = measured.withColumn("_best", F.array_min(F.array(*candidates)) if candidates else none).select("*", "_best.*")
     n_chars = F.aggregate("_classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    extra = SAMPLING * (1 / F.least(F.col("n_words"), F.lit(MIN_WORDS)) - 1 / MIN_WORDS)
-    most = F.sqrt(max_word**2 + extra) if by_length else F.lit(max_word)
-    diverges = ((F.col("n_words") >= (SHORT_WORDS if by_length else MIN_WORDS)) & (F.col("word_distance") > most)) | ((n_chars >= MIN_CHARS) & (F.col("class_distance") > max_class))
+    most = F.sqrt(max_word**2 + SAMPLING * (1 / F.least(F.col("n_words"), F.lit(FULL_WORDS)) - 1 / FULL_WORDS))
+    diverges = ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > most)) | ((n_chars >= MIN_CHARS) & (F.col("class_distance") > max_class))
     return measured.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & ~F.coalesce(diverges, F.lit(False))).alias("kept"), "word_distance", "class_distance", "nearest",
@@ -192,22 +195,16 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
-def op6_rules_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_rules, with the word rule from SHORT_WORDS words on."""
-    found = assess(table(spark, sf_dir, "documents"), by_length=True)
-    return found.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
-
-
 def _sql_term(p: str, q: str) -> str:
     part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
     return f"(({part(p)}) + ({part(q)})) / 2"
 
 
-def _sql(by_length: bool = False) -> str:
+def _sql() -> str:
     k = len(CLASSES)
     rests = ", ".join(f"regexp_replace(r{i}, '{pattern}', '', 'g') AS r{i + 1}" for i, (_, pattern) in enumerate(CLASSES))
     counts = [*(f"length(r{i}) - length(r{i + 1})" for i in range(k)), f"length(r{k})"]
-    word_rule = f"n >= {SHORT_WORDS} AND wd > sqrt({MAX_WORD_DISTANCE**2} + {SAMPLING} * (1 / least(n, {MIN_WORDS}) - 1 / {MIN_WORDS}))" if by_length else f"n >= {MIN_WORDS} AND wd > {MAX_WORD_DISTANCE}"
+    word_rule = f"n >= {MIN_WORDS} AND wd > sqrt({MAX_WORD_DISTANCE**2} + {SAMPLING} * (1 / least(n, {FULL_WORDS}) - 1 / {FULL_WORDS}))"
     names = [f"k{i}" for i in range(k + 1)]
     total = lambda prefix: "(" + " + ".join(f"{prefix}{n}" for n in names) + ")"
     divergence = " + ".join(_sql_term(f"(d.{n} / greatest({total('d.')}, 1))", f"(c.{n} / greatest({total('c.')}, 1))") for n in names)
@@ -219,7 +216,7 @@ d AS (SELECT rid, doc_id, lang, w, len(w) AS n, length(r1) AS word_chars, length
 g AS (SELECT rid, unnest(range(1, n - 6)) AS i, unnest([array_to_string(w[j:j + 7], ' ') FOR j IN range(1, n - 6)]) AS g FROM d WHERE n >= 8),
 dup AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT i + k.k) AS n_repeat FROM dup, (SELECT unnest(range(8)) AS k) k GROUP BY rid),
-tot AS (SELECT lang, sum(n) AS total FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n) > 0),
+tot AS (SELECT lang, sum(n) AS total FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n) > 0 AND sum(n) * {LANGUAGES} >= (SELECT sum(n) FROM d WHERE lang IS NOT NULL)),
 com AS (SELECT lang, word, count(*) AS c, any_value(total) AS total FROM (SELECT lang, unnest(w) AS word FROM d) JOIN tot USING (lang) WHERE strlen(word) <= {COMMON_BYTES} AND regexp_full_match(word, '[a-z\x{{C0}}-\x{{24F}}]+')
   GROUP BY 1, 2 HAVING count(*) >= ceil(any_value(total) * {COMMON_SHARE})),
 u AS (SELECT DISTINCT word FROM com),
@@ -236,4 +233,3 @@ FROM f"""
 
 
 OP6_SQL = _sql()
-OP6_LENGTHS_SQL = _sql(by_length=True)

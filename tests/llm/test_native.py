@@ -121,7 +121,6 @@ def test_word_rule_judges_short_texts(spark):
     prose = "the of and to in a is that it was for on are as with his they at be this"
     junk = " ".join(f"qz{a}{b}" for a in "abcdefgh" for b in "stuvwxyz")
     df = spark.createDataFrame([(i, " ".join(f"{w} n{i}x{k}" for k, w in enumerate(prose.split() * 4)), "en") for i in range(40)] + [(90, junk, "en"), (91, " ".join(junk.split()[:40]), "en")], "doc_id bigint, text string, lang string")
-    got = {r.doc_id: r for r in quality_rules.assess(df, max_class=1.0, by_length=True).collect()}
+    got = {r.doc_id: r for r in quality_rules.assess(df, max_class=1.0).collect()}
     assert got[90].n_words == 64 and not got[90].base_failed and not got[90].kept
     assert got[91].kept and all(got[i].kept for i in range(40))
-    assert {r.doc_id: r.kept for r in quality_rules.assess(df, max_class=1.0).collect()}[90]
