@@ -53,7 +53,7 @@ COUNTED = 200_000
 NOISE, BATCH = 64, 2048
 RATE = 0.08
 #: Tokens that a shard should have, the most shards, and the parts between averages.
-SHARD_TOKENS, MAX_SHARDS, ROUNDS = 4 << 20, 4096, 4
+SHARD_TOKENS, MAX_SHARDS, ROUNDS = 8 << 20, 4096, 4
 #: Parameters that travel together; tokens that are scored together.
 CHUNK, SCORED = 1 << 16, 1 << 16
 #: No word holds white space, so this is no word.
@@ -391,7 +391,7 @@ def numbered(df: DataFrame, words, learns: str, id_col: str, text_col: str) -> D
     return map_arrow(df.select(F.col(id_col), F.col(text_col), F.col(learns).alias("_learns"), mark.alias("_mark")), run, schema)
 
 
-def train(documents: DataFrame, words, scratch: Scratch) -> np.ndarray:
+def train(documents: DataFrame, words) -> np.ndarray:
     """Parameters after one pass over kept documents (_mark, _ids): shards by hash, averages after each of ROUNDS parts."""
     own: Vocabulary = words.value
     class_of, frequency = own.class_of, own.frequency
@@ -429,13 +429,12 @@ def train(documents: DataFrame, words, scratch: Scratch) -> np.ndarray:
     for turn in range(ROUNDS):
         given = spark.sparkContext.broadcast(values)
         part = dealt.filter(F.col("turn") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "_mark", "_ids").select("shard", "_ids")
-        learned = scratch.keep(map_arrow(part, learn(given, turn), "at bigint, n double, part binary"))
+        learned = map_arrow(part, learn(given, turn), "at bigint, n double, part binary")
         # sums in an order that does not depend on the layout
         found = map_arrow(learned.repartition("at").sortWithinPartitions("at", "n", "part"), average, "at bigint, n double, part binary").toArrow()
         values = values.copy()
         for at, part in zip(found.column("at").to_pylist(), found.column("part").to_pylist()):
             values[at : at + CHUNK] = np.frombuffer(part, np.float32)
-        scratch.drop(learned)
         given.unpersist()
     return values
 
@@ -476,7 +475,7 @@ def assess(df: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     own: Vocabulary = words.value
     both = scratch.keep(numbered(docs, words, "_learns", id_col, text_col))
     documents, rare = both.filter("n_tokens is not null"), both.filter("_word is not null").select("_row", "_word", "_class", "_n")
-    parameters = spark.sparkContext.broadcast(train(documents.filter("_learns"), words, scratch))
+    parameters = spark.sparkContext.broadcast(train(documents.filter("_learns"), words))
     whole = scored(documents, words, parameters, id_col)
     shares = F.array(*(F.lit(float(x)) for x in own.shares()))
     joined = rare.join(counts.select(F.col("word").alias("_word"), F.col("n").alias("_count")), "_word", "left")
