@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -34,8 +35,11 @@ def test_links(spark):
         "conv_id bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>",
     )
     results = spark.createDataFrame([("c0", "b"), ("c0", "a"), ("c2", None), (None, "q"), ("nothing", "r")], "call_id string, content string")
-    got = {r.call_id: r for r in chat.link_tool_calls(calls, results, SCHEMAS).collect()}
-    assert set(got) == {"c0", "c2", "c4", "c6", "c8", "d0", "d1", "d2", "e0", "e1"}
+    rows = chat.link_tool_calls(calls, results, SCHEMAS).collect()
+    got = {r.call_id: r for r in rows}
+    assert sorted(r.errors for r in rows if r.call_id is None) == ["no identifier", "result without a call"]
+    assert (got["nothing"].errors, got["nothing"].n_calls, got["nothing"].n_results, got["nothing"].valid) == ("result without a call", 0, 1, False)
+    assert len(rows) == 13 and set(got) == {"c0", "c2", "c4", "c6", "c8", "d0", "d1", "d2", "e0", "e1", "nothing", None}
     assert (got["c0"].n_calls, got["c0"].n_results, got["c0"].errors) == (3, 2, "")
     assert got["c0"].json == '{"arguments":{"a":"x \\"q\\"","n":3},"call_id":"c0","conv_id":1,"name":"t","result":"a","step":0,"valid":true}'
     assert got["c2"].errors == "a is not STRING" and json.loads(got["c2"].json)["result"] is None
@@ -47,6 +51,40 @@ def test_links(spark):
     assert chat.link_tool_calls(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
+def longest_ways(edges, nodes):
+    """Level of each node by repeated relaxation; None on or behind a circle."""
+    level = {}
+    while True:
+        free = {v for v in nodes if v not in level and all(d in level for d in edges.get(v, ()))}
+        if not free:
+            return {v: level.get(v) for v in nodes}
+        level |= {v: max((level[d] + 1 for d in edges.get(v, ())), default=0) for v in free}
+
+
+def test_order_equals_brute_force(spark):
+    pick = random.Random(5)
+    edges = {f"r{i}": {f"r{pick.randrange(i)}" for _ in range(pick.choice([0, 1, 1, 1, 2, 3]))} for i in range(1, 90)}
+    edges |= {f"x{i}": {f"x{i + 1}"} for i in range(70)}  # a chain against the turns
+    edges |= {"k0": {"k1"}, "k1": {"k2"}, "k2": {"k0"}, "k3": {"k1"}, "k4": {"k3", "r5"}, "x70": {"r80", "r3"}}
+    nodes = sorted(set(edges) | {d for ds in edges.values() for d in ds})
+    rows = [(1, i, v, "t", '{"a":"x"}', sorted(edges.get(v, ())), "kept", 0) for i, v in enumerate(nodes)]
+    calls = spark.createDataFrame(rows, "conv_id bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>, errors string, step int")
+    results = spark.createDataFrame([("r1", "a", 1)], "call_id string, content string, valid int")
+    got = {r.call_id: r.step for r in chat.link_tool_calls(calls, results, SCHEMAS).collect()}
+    assert got == longest_ways(edges, nodes)
+
+
+def test_conversation_rows(spark):
+    turns = [(1, 0, "user", "aa", 7), (1, 2, "user", "a", 7), (1, 4, "user", "aaaa", 7), (1, 4, "user", "bbbb", 7), (1, 3, "assistant", "r", 7), (1, 8, "user", None, 7),
+             (None, 0, "user", "q", 7), (2, None, "user", "q", 7), (3, 1, "assistant", "lost", 7), (3, None, "assistant", "lost", 7), (4, 0, None, "x", 7)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, call_id int")
+    rows = chat.link_tool_calls(*chat.calls_of(df), chat.TOOLS).collect()
+    steps = {r.call_id: (r.step, r.n_calls, r.n_results, r.errors) for r in rows if r.call_id}
+    assert steps["call_1_2"][0] == 1 and steps["call_1_4"][:2] == (0, 2) and steps["call_3_0"] == (None, 0, 1, "result without a call")
+    assert "dependency is absent" in steps["call_1_8"][3]
+    assert sorted(r.errors for r in rows if r.call_id is None) == ["no identifier", "no identifier", "result without a call"]
+
+
 def repeated(words, n=8):
     grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
     count = Counter(grams)
