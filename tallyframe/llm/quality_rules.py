@@ -13,9 +13,8 @@ sampling adds (its square falls with the number of words).
 A word is common when it makes up 1/250 of its language's words or more, so
 there are at most 250 a language; languages count from 1/500 of all words
 with a language on, which bounds the tables that are collected and sent out.
-Words of more than ``COMMON_BYTES`` bytes or in other than Latin letters fall
-into the bin for all other words, so a language in another script is judged by
-its character classes.
+Common words are runs of letters and marks of any script and any length,
+compared as they are written; all others fall into the bin for other words.
 
 Cases: a null or empty text has no words and fails the base rule; without
 references (an empty table, no language known) the divergence rules pass;
@@ -36,8 +35,7 @@ from .common import Scratch, table
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 COMMON_SHARE, LANGUAGES = 1 / 250, 500
-#: Longer words are never counted as common.
-COMMON_BYTES = 10
+COMMON_WORD = r"[\p{L}\p{M}]+"
 MIN_WORDS, FULL_WORDS, MIN_CHARS = 50, 120, 200
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.25
 #: The sampling part of a squared distance times the number of words.
@@ -106,14 +104,14 @@ def common_words(df: DataFrame, text_col: str, lang_col: str) -> tuple[dict[str,
     """Words per language, and the counts of (language, word) from ``COMMON_SHARE`` on."""
     own = df.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), words_of(F.col(text_col)).alias("_words"))
     spark = df.sparkSession
-    counted = own.select("_lang", F.explode("_words").alias("_word")).groupBy("_lang", F.when(F.octet_length("_word") <= COMMON_BYTES, F.col("_word")).alias("_word")).count()
+    counted = own.select("_lang", F.explode("_words").alias("_word")).groupBy("_lang", "_word").count()
     scratch = Scratch(spark)
     counted = scratch.keep(counted)
     each = counted.groupBy("_lang").agg(F.sum("count").alias("n"))
     every = each.agg(F.sum("n")).first()[0] or 0
     totals = {r[0]: r[1] for r in each.filter(F.col("n") * LANGUAGES >= every).collect()}
     least = reduce(lambda c, x: c.when(F.col("_lang") == x[0], F.lit(math.ceil(x[1] * COMMON_SHARE))), totals.items(), F.when(F.lit(False), F.lit(0)))
-    found = counted.filter((F.col("count") >= least) & F.col("_word").rlike(r"^[a-zÀ-ɏ]+$")).collect() if totals else []
+    found = counted.filter((F.col("count") >= least) & F.col("_word").rlike(f"^{COMMON_WORD}$")).collect() if totals else []
     scratch.drop(counted)
     return totals, {(r["_lang"], r["_word"]): r["count"] for r in found}
 
@@ -217,7 +215,7 @@ g AS (SELECT rid, unnest(range(1, n - 6)) AS i, unnest([array_to_string(w[j:j +
 dup AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT i + k.k) AS n_repeat FROM dup, (SELECT unnest(range(8)) AS k) k GROUP BY rid),
 tot AS (SELECT lang, sum(n) AS total FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n) > 0 AND sum(n) * {LANGUAGES} >= (SELECT sum(n) FROM d WHERE lang IS NOT NULL)),
-com AS (SELECT lang, word, count(*) AS c, any_value(total) AS total FROM (SELECT lang, unnest(w) AS word FROM d) JOIN tot USING (lang) WHERE strlen(word) <= {COMMON_BYTES} AND regexp_full_match(word, '[a-z\x{{C0}}-\x{{24F}}]+')
+com AS (SELECT lang, word, count(*) AS c, any_value(total) AS total FROM (SELECT lang, unnest(w) AS word FROM d) JOIN tot USING (lang) WHERE regexp_full_match(word, '{COMMON_WORD}')
   GROUP BY 1, 2 HAVING count(*) >= ceil(any_value(total) * {COMMON_SHARE})),
 u AS (SELECT DISTINCT word FROM com),
 dw AS (SELECT rid, word, count(*) AS k FROM (SELECT rid, unnest(w) AS word FROM d) JOIN u USING (word) GROUP BY 1, 2),

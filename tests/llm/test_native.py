@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -137,10 +138,9 @@ def test_distances_equal_brute_force(spark, sf_dir):
     for _, t, lang in rows:
         for w in re.findall(r"[^\x20\x09-\x0D]+", t):
             total[lang] += 1
-            if len(w.encode()) <= quality_rules.COMMON_BYTES:
-                count[lang, w] += 1
+            count[lang, w] += 1
         classes[lang] = [a + b for a, b in zip(classes.get(lang, [0] * 9), classes_of(t))]
-    common = sorted({w for (lang, w), n in count.items() if n >= math.ceil(total[lang] * quality_rules.COMMON_SHARE) and re.fullmatch("[a-zÀ-ɏ]+", w)})
+    common = sorted({w for (lang, w), n in count.items() if n >= math.ceil(total[lang] * quality_rules.COMMON_SHARE) and all(unicodedata.category(c)[0] in "LM" for c in w)})
     for i, t, _ in rows[:120]:
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
         own = Counter(words)
@@ -162,3 +162,17 @@ def test_word_rule_judges_short_texts(spark):
     got = {r.doc_id: r for r in quality_rules.assess(df, max_class=1.0).collect()}
     assert got[90].n_words == 64 and not got[90].base_failed and not got[90].kept
     assert got[91].kept and all(got[i].kept for i in range(40))
+
+
+def test_common_words_of_any_script(spark):
+    prose = "и в не на я что он с как это по но они мы из у за то же вы так"
+    junk = " ".join(f"щъ{a}{b}" for a in "абвгдежз" for b in "стуфхцчш")
+    rows = [(i, " ".join(f"{w} н{i}х{k}" for k, w in enumerate(prose.split() * 4)), "ru") for i in range(40)] + [(90, junk, "ru")]
+    got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_class=1.0).collect()}
+    assert not got[90].base_failed and not got[90].kept and all(got[i].kept for i in range(40))
+
+
+def test_no_language_known(spark):
+    df = spark.createDataFrame([(1, "word " * 3 + " ".join(f"w{i}" for i in range(60)), None)], "doc_id bigint, text string, lang string")
+    row = quality_rules.assess(df).first()
+    assert row.kept and row.nearest is None and row.word_distance is None
