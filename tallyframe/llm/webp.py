@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +35,7 @@ BLOCK = 64
 #: Sizes of the colour cache that are tried, the longest prefix code written (four of them and a place within a byte fill a word), the longest reference.
 CACHES, LONGEST, REACH = (8,), 14, 4096
 #: Bytes of a stream that are laid out as words at once.
-AHEAD = 1 << 14
+AHEAD = 1 << 12
 # Fixed values of the format: order of code-length symbols; distance map (x, y) of the codes 1 to 120.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 DISTANCE_MAP = (
@@ -128,15 +127,21 @@ def _reversals(n: int) -> np.ndarray:
 _REVERSED = [_reversals(n) for n in range(16)]
 
 
-def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of every symbol, its code as it stands in the stream); a single symbol takes no bits."""
-    size, code = lengths.astype(np.int64), np.zeros(len(lengths), np.uint64)
-    used = np.flatnonzero(size)
-    if len(used) < 2:
-        return np.zeros(len(lengths), np.int64), code
-    order = used[np.argsort(size[used], kind="stable")]
+def _canonical(lengths: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bits of every symbol, its code as it stands in the stream); owner: the place of the code that a symbol is of, in order.
+
+    The symbol of a code of one takes no bits.
+    """
+    used = lengths.nonzero()[0]
+    own = lengths[used] if owner is None else lengths[used] + (owner[used] << 4)
+    order = used[np.argsort(own, kind="stable")]
+    size, code = lengths.copy(), np.zeros(len(lengths), np.uint64)
+    if owner is not None:
+        single = np.bincount(owner[used], minlength=int(owner[-1]) + 1)[owner[order]] == 1
+        size[order[single]] = 0
+        order = order[~single]
     share = 1 << (15 - size[order])
-    code[order] = _REVERSED[15][np.cumsum(share) - share]
+    code[order] = _REVERSED[15][(np.cumsum(share) - share) & 32767]  # a whole code has 2**15 shares
     return size, code
 
 
@@ -165,10 +170,6 @@ class PrefixCode:
             self.table = self.entries.tolist()
         return self
 
-    def moved(self, shift: int) -> list[int]:
-        """Entries of the symbol, ``shift`` bits further on, above six bits for the length."""
-        return ((self.entries >> 4 << (shift + 6)) | (self.entries & 15)).tolist()
-
     def read(self, bits: BitReader) -> int:
         got = self.table[bits.peek(self.bits)]
         bits.at += got & 15
@@ -176,7 +177,11 @@ class PrefixCode:
 
 
 @lru_cache(1024)
-def _length_code(lengths: tuple[int, ...]) -> PrefixCode:
+def _length_code(n: int, value: int) -> PrefixCode:
+    """The code of code lengths of n fields of three bits."""
+    lengths = [0] * 19
+    for k in range(n):
+        lengths[LENGTH_ORDER[k]] = value >> 3 * k & 7
     return PrefixCode(lengths).prepare()
 
 
@@ -189,17 +194,19 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
             raise ValueError("a symbol outside its alphabet")
         lengths[both] = 1
         return PrefixCode(lengths)
-    order = [0] * 19
-    for k in range(4 + bits.read(4)):
-        order[LENGTH_ORDER[k]] = bits.read(3)
+    n = 4 + bits.read(4)
+    code = _length_code(n, bits.read(3 * n))
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     if most > alphabet:
         raise ValueError("too many code lengths")
-    code = _length_code(tuple(order))
-    words, base, _ = bits.words(2 * alphabet + 8)  # 14 bits a length at most
+    words, base, stop = bits.words(64)
     table, mask, p = code.table, (1 << code.bits) - 1, bits.at - base
     lengths, last, total = [], 8, bits.end - base
     while len(lengths) < alphabet and most:
+        if p >= stop:
+            bits.at = base + p
+            words, base, stop = bits.words(64)
+            p, total = bits.at - base, bits.end - base
         most -= 1
         w = words[p >> 3] >> (p & 7)
         got = table[w & mask]
@@ -253,17 +260,21 @@ def _read_reference(bits: BitReader, symbol: int, distance: PrefixCode, width: i
 _EIGHT = np.arange(8, dtype=np.uint32)
 
 
-def _read_plain(bits: BitReader, codes: list[PrefixCode], width: int, count: int, cache_bits: int) -> np.ndarray:
-    """Pixels under one prefix group whose literals fit a word, without a colour cache.
+def _read_group(bits: BitReader, codes: list[PrefixCode], width: int, count: int, cache_bits: int) -> np.ndarray:
+    """Pixels under one prefix group whose literals fit a word.
 
-    The place after a literal is found for every place at once; literals are then a chain of places.
+    The place after a literal is found for every place at once; literals are then a chain of places.  A pixel from
+    the colour cache is the latest one of its slot, which is looked up when all are read: with a cache, references
+    copy the number of the pixel that they go back to.
     """
     masks = [np.uint32((1 << c.bits) - 1) for c in codes[:4]]
     sizes = [c.entries & 15 for c in codes[:4]]
     symbols = [c.entries >> 4 for c in codes[:4]]
-    refers = symbols[0] >= 256
+    refers, alone = (symbols[0] >= 256) & (symbols[0] < 280), symbols[0] >= 280
     distance = codes[4].prepare()
     out, n = np.empty(count, np.uint32), 0
+    source = np.arange(count) if cache_bits else out
+    slots = np.full(count if cache_bits else 0, -1)
     while n < count:
         first = bits.at >> 3
         if first > len(bits.data):
@@ -277,17 +288,24 @@ def _read_plain(bits: BitReader, codes: list[PrefixCode], width: int, count: int
         after += sizes[0].take(index[:stop])
         for mask, size in zip(masks[1:], sizes[1:]):
             after += size.take(here.take(after) & mask)
+        if cache_bits:
+            after = np.where(alone.take(index[:stop]), np.arange(stop) + sizes[0].take(index[:stop]), after)
         after[refers.take(index[:stop])] = -1
-        after = after.tolist()
+        after = after.tolist() + [-1] * 128  # a literal or reference may end so far beyond
         p, chain, start = bits.at - 8 * first, [], n
         runs: list[tuple[int, int, int, int]] = []  # literals before, place, length, distance
-        while n < count and p < stop:
-            q = after[p]
-            if q >= 0:
-                chain.append(p)
+        append = chain.append
+        while True:
+            n -= len(chain)
+            for _ in range(count - n - len(chain)):
+                q = after[p]
+                if q < 0:
+                    break
+                append(p)
                 p = q
-                n += 1
-                continue
+            n += len(chain)
+            if n >= count or p >= stop:
+                break
             g = int(index[p])
             bits.at = 8 * first + p + int(sizes[0][g])
             length, d = _read_reference(bits, int(symbols[0][g]), distance, width)
@@ -303,64 +321,36 @@ def _read_plain(bits: BitReader, codes: list[PrefixCode], width: int, count: int
             entry = here.take(at) & mask
             pixels |= symbol.take(entry).astype(np.uint32) << np.uint32(shift)
             at = at + size.take(entry)
+        if cache_bits:
+            symbol = symbols[0].take(index.take(np.array(chain, np.int64)))
         k, to = 0, start
-        for before, place, length, d in runs:
+        for before, place, length, d in [*runs, (len(chain), n, 0, 1)]:
             out[to:place] = pixels[k:before]
+            if cache_bits:
+                slots[to:place] = symbol[k:before] - 280
             k, to = before, place + length
-            out[place:to] = out[place - d : to - d] if d >= length else np.resize(out[place - d : place], length)
-        out[to:n] = pixels[k:]
+            source[place:to] = source[place - d : to - d] if d >= length else np.resize(source[place - d : place], length)
     if bits.at > bits.end:
         raise ValueError("the stream ends too early")
-    return out
+    return _from_cache(out, source, slots, cache_bits) if cache_bits else out
 
 
-def _read_cached(bits: BitReader, codes: list[PrefixCode], width: int, count: int, cache_bits: int) -> np.ndarray:
-    """Pixels under one prefix group whose literals fit a word, with a colour cache."""
-    own, red, blue, alpha = (c.moved(shift) for c, shift in zip(codes, (8, 16, 0, 24)))
-    green_mask, red_mask, blue_mask, alpha_mask = ((1 << c.bits) - 1 for c in codes[:4])
-    beyond = 256 << 14
-    distance = codes[4].prepare()
-    out, n = array("I"), 0
-    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    append = out.append
-    while n < count:
-        words, base, stop = bits.words()
-        p = bits.at - base
-        while n < count and p < stop:
-            w = words[p >> 3] >> (p & 7)
-            g = own[w & green_mask]
-            if g < beyond:
-                w >>= g & 63
-                r = red[w & red_mask]
-                w >>= r & 63
-                b = blue[w & blue_mask]
-                g += r + b + alpha[w >> (b & 63) & alpha_mask]
-                p += g & 63
-                pixel = g >> 6
-                append(pixel)
-                n += 1
-                cache[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> shift] = pixel
-                continue
-            p += g & 63
-            s = g >> 14
-            if s >= 280:
-                append(cache[s - 280])  # it is where it belongs
-                n += 1
-                continue
-            bits.at = base + p
-            length, d = _read_reference(bits, s, distance, width)
-            p = bits.at - base
-            if d > n or n + length > count:
-                raise ValueError("a reference outside the image")
-            part = out[n - d : n - d + length] if d >= length else (out[n - d : n] * (length // d + 1))[:length]
-            out.extend(part)
-            for pixel in part:
-                cache[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> shift] = pixel
-            n += length
-        bits.at = base + p
-    if bits.at > bits.end:
-        raise ValueError("the stream ends too early")
-    return np.frombuffer(out, np.uint32)
+def _from_cache(pixels: np.ndarray, source: np.ndarray, slots: np.ndarray, cache_bits: int) -> np.ndarray:
+    """pixels: the literals; source: the pixel that each is a copy of; slots: where a pixel from the cache lies."""
+    slot = np.where(slots >= 0, slots, (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits))[source]
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    lone = np.flatnonzero(slots[order] >= 0)
+    lone = lone[source[order[lone]] == order[lone]]  # not the places that a reference has filled
+    empty = (lone == 0) | (slot[order[lone]] != slot[order[lone - 1]])
+    source[order[lone]] = order[lone - 1]
+    if empty.any():  # a slot that nothing was put into is zero
+        pixels[order[lone[empty]]] = 0
+        source[order[lone[empty]]] = order[lone[empty]]
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return pixels[source]
+        source = further
 
 
 def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -379,7 +369,7 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     codes = [[_read_code(bits, n) for n in alphabets] for _ in range(groups)]
     count = width * height
     if groups == 1 and sum(c.bits for c in codes[0][:4]) <= 57:
-        return (_read_cached if cache_bits else _read_plain)(bits, codes[0], width, count, cache_bits)
+        return _read_group(bits, codes[0], width, count, cache_bits)
     for group in codes:
         for c in group:
             c.prepare()
@@ -630,38 +620,45 @@ def _huffman(counts: np.ndarray, limit: int = LONGEST) -> np.ndarray:
         floor *= 2
 
 
-def _write_code(out: BitWriter, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
-    if len(used) < 2:
-        s = int(used[0]) if len(used) else 0
-        out.write(1 | (s > 1) << 2 | s << 3, 11 if s > 1 else 4)
-        return
-    cuts = np.concatenate([_ZERO, (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, [len(lengths)]])
-    value = lengths[cuts[:-1]]
+def _write_codes(out: BitWriter, lengths: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> None:
+    """The lengths of several codes, one after the other; owner: the code of every symbol; bounds: where each begins, and the end."""
+    new = np.empty(len(lengths), bool)
+    new[0] = True
+    np.not_equal(lengths[1:], lengths[:-1], out=new[1:])
+    new[bounds[:-1]] = True
+    start = new.nonzero()[0]
+    value, of = lengths[start], owner[start]
     one = value > 0  # a length is written before it is repeated
-    unit = np.where(one, 6, 138)
-    parts = np.empty((3, len(value), 4), np.int64)  # symbols, repetitions, times of a run's parts
-    symbols, repeated, times = parts
-    times[:, 0] = one
-    full, rest = np.divmod(cuts[1:] - cuts[:-1] - one, unit)
+    full, rest = np.divmod(np.diff(start, append=len(lengths)) - one, np.where(one, 6, 138))
     tail = rest >= 3
-    times[:, 1], times[:, 2], times[:, 3] = full, tail, rest * ~tail
+    parts = np.empty((4, len(value), 4), np.int64)  # symbols, repetitions, codes, times of a run's parts
+    symbols, repeated, codes, times = parts
+    times[:, 0], times[:, 1], times[:, 2], times[:, 3] = one, full, tail, rest * ~tail
     symbols[:, 0] = symbols[:, 3] = value
     symbols[:, 1] = symbols[:, 2] = 18 - 2 * one
     symbols[:, 2] -= ~one & (rest < 11)
     repeated[:, 0] = repeated[:, 3] = 0
-    repeated[:, 1], repeated[:, 2] = unit, rest
-    symbols, extras = parts[:2].reshape(2, -1).repeat(times.ravel(), 1)
-    extras = np.maximum(extras - _LEAST[symbols], 0)
-    k = int((_LENGTH_BITS @ np.bincount(symbols, minlength=19) + _HEAD_BITS).argmin())
-    head, head_bits, size, code = _LENGTH_CODES[k]
-    out.write(0, 1)
-    out.write(head, head_bits)
-    out.write(0, 1)
-    out.write_all(code[symbols] | extras.astype(np.uint64) << size[symbols].astype(np.uint64), (size + _EXTRA_BITS)[symbols])
+    repeated[:, 1], repeated[:, 2] = np.where(one, 6, 138), rest
+    codes[:] = of[:, None]
+    symbols, extras, codes = parts[:3].reshape(3, -1).repeat(times.ravel(), 1)
+    n = len(bounds) - 1
+    counts = np.bincount(codes * 19 + symbols, minlength=19 * n).reshape(n, 19)
+    chosen = (counts @ _LENGTH_BITS.T + _HEAD_BITS).argmin(1)
+    extras = np.maximum(extras - _LEAST[symbols], 0).astype(np.uint64)
+    heads = [(_LENGTH_CODES[k][0] << 1, _LENGTH_CODES[k][1] + 2) for k in chosen.tolist()]
+    used = np.add.reduceat(lengths > 0, bounds[:-1])
+    for c in (used < 2).nonzero()[0].tolist():  # the simple form
+        s = int(lengths[bounds[c] : bounds[c + 1]].argmax())
+        heads[c] = (1 | (s > 1) << 2 | s << 3, 11 if s > 1 else 4)
+    written = (used >= 2)[codes]
+    symbols, extras, codes = symbols[written], extras[written], codes[written]
+    k = chosen[codes]
+    size = _LENGTH_BITS[k, symbols]
+    at = np.searchsorted(codes, np.arange(n))
+    head, head_bits = (np.array(x, d) for x, d in zip(zip(*heads), (np.uint64, np.int64)))
+    out.write_all(np.insert(_LENGTH_TABLE[k, symbols] | extras << size.astype(np.uint64), at, head), np.insert(size + _EXTRA_BITS[symbols], at, head_bits))
 
 
-_ZERO = np.zeros(1, np.int64)
 _EXTRA_BITS = np.array([0] * 16 + [2, 3, 7])
 _LEAST = np.array([0] * 16 + [3, 3, 11])
 #: Codes of code lengths to choose from: Huffman codes of the lengths of groups of like texts' codes, and one for what is like none of them.
@@ -688,7 +685,7 @@ def _length_codes() -> list[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 _LENGTH_CODES = _length_codes()
-_LENGTH_BITS, _HEAD_BITS = np.array(LENGTH_LENGTHS), np.array([x[1] for x in _LENGTH_CODES])
+_LENGTH_BITS, _HEAD_BITS, _LENGTH_TABLE = np.array(LENGTH_LENGTHS), np.array([x[1] for x in _LENGTH_CODES]), np.stack([x[3] for x in _LENGTH_CODES])
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -763,7 +760,7 @@ def _cache_for(pixels: np.ndarray, literal: np.ndarray, sizes: tuple[int, ...])
     """(size of the colour cache with the least estimated bits of the literals, its slots and hits)."""
     best = (0, None, None)
     samples = _bytes_of(pixels)
-    least = float(_channel_bits(samples[literal][None])[0])
+    least = None
     for cache_bits in sizes:
         slot, there = _hits(pixels, cache_bits)
         hit = literal & there
@@ -771,12 +768,25 @@ def _cache_for(pixels: np.ndarray, literal: np.ndarray, sizes: tuple[int, ...])
         if not few:
             continue
         # the slots, which literals are hits, and the other literals; lone slots are far apart in the green code
-        bits = float(_bits_of(np.bincount(slot[hit]), 10)) + float(_bits_of(np.array([few, int(literal.sum()) - few])))
+        own = np.bincount(slot[hit])
+        if 10 * int((own > 0).sum()) > 32 * few:  # more than the hits' pixels
+            continue
+        if least is None:
+            least = float(_channel_bits(samples[literal][None])[0])
+        bits = float(_bits_of(own, 10)) + float(_bits_of(np.array([few, int(literal.sum()) - few])))
         if bits < least and (bits := bits + float(_channel_bits(samples[literal & ~there][None])[0])) < least:
             least, best = bits, (cache_bits, slot, there)
     return best
 
 
+_FIVE = np.arange(5)
+
+
+def _bounds(greens: int) -> np.ndarray:
+    """Where the five alphabets of a prefix group begin, one after the other, and their end."""
+    return np.array([0, greens, greens + 256, greens + 512, greens + 768, greens + 808])
+
+
 def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int | None = 0, references: bool = False, groups: np.ndarray | None = None, meta_bits: int = 0) -> None:
     """cache_bits: None for the size of least estimated bits."""
     height, width = pixels.shape
@@ -811,27 +821,31 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
         far, far_extra, far_bits = _prefix(np.array([codes_of.get(d, d + 120) for _, _, d in found]))
         first[refers] = 256 + length
     plain = ~(refers | cached)
-    alphabets = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    alphabets = (280 + (1 << cache_bits if cache_bits else 0),)
     of = np.zeros(len(at), np.int64) if groups is None else groups[at // width >> meta_bits, at % width >> meta_bits].astype(np.int64)
     value, size = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
     for g in range(1 if groups is None else int(groups.max()) + 1):
         own = of == g
-        literals, references_ = np.flatnonzero(own & plain), own[refers] if found else None
-        counts = [np.bincount(first[own], minlength=alphabets[0])]
-        counts += [np.bincount(symbols[literals, c], minlength=256) for c in (1, 2, 3)]
-        counts.append(np.bincount(far[references_], minlength=40) if found else np.zeros(40, np.int64))
-        lengths = [_huffman(c) for c in counts]
-        for x in lengths:
-            _write_code(out, x)
-        sizes, codes = zip(*map(_canonical, lengths))
-        value[own], size[own] = codes[0][first[own]], sizes[0][first[own]]
-        for c in (1, 2, 3):
-            s = symbols[literals, c]
-            value[literals] |= codes[c][s] << size[literals].astype(np.uint64)
-            size[literals] += sizes[c][s]
+        literals, references_ = (own & plain).nonzero()[0], own[refers] if found else None
+        begin = _bounds(alphabets[0])
+        merged = symbols[literals] + begin[:4]
+        every = [first[own & ~plain], merged.ravel()]
+        if found:
+            every.append(begin[4] + far[references_])
+        counts = np.bincount(np.concatenate(every), minlength=begin[5])
+        owner = _FIVE.repeat(np.diff(begin))
+        lengths = np.concatenate([_huffman(counts[a:b]) for a, b in zip(begin.tolist(), begin.tolist()[1:])])
+        _write_codes(out, lengths, owner, begin)
+        sizes, codes = _canonical(lengths, owner)
+        rest = (own & ~plain).nonzero()[0]
+        value[rest], size[rest] = codes[first[rest]], sizes[first[rest]]
+        each = sizes[merged]
+        shift = np.cumsum(each, 1) - each
+        value[literals] = np.bitwise_or.reduce(codes[merged] << shift.astype(np.uint64), 1)
+        size[literals] = each.sum(1)
         if found and references_.any():
             here, k = np.flatnonzero(refers)[references_], np.flatnonzero(references_)
-            for more, n in ((length_extra[k], length_bits[k]), (codes[4][far[k]], sizes[4][far[k]]), (far_extra[k], far_bits[k])):
+            for more, n in ((length_extra[k], length_bits[k]), (codes[begin[4] + far[k]], sizes[begin[4] + far[k]]), (far_extra[k], far_bits[k])):
                 value[here] |= more.astype(np.uint64) << size[here].astype(np.uint64)
                 size[here] += n
     out.write_all(value, size)
