@@ -21,21 +21,22 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table
+from .common import map_arrow, map_batches, table
 
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 MAX_SIDE = 1 << 14
 BLOCK = 64
 #: Sizes of the colour cache that are tried, the longest prefix code written (four of them and a place within a byte fill a word), the longest reference.
 CACHES, LONGEST, REACH = (8,), 14, 4096
-#: Bytes of a stream that are laid out as words at once.
-AHEAD = 1 << 12
+#: Bytes of a stream that are laid out as words at once; bytes and rows of payloads whose stored forms are read back together.
+AHEAD, READ_BYTES, READ_ROWS = 1 << 12, 1 << 24, 4000
 # Fixed values of the format: order of code-length symbols; distance map (x, y) of the codes 1 to 120.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 DISTANCE_MAP = (
@@ -125,6 +126,9 @@ def _reversals(n: int) -> np.ndarray:
 
 
 _REVERSED = [_reversals(n) for n in range(16)]
+#: Entries of a table over so many bits that a code of so many takes.
+_SHARES = [np.array([1 << max(0, most - n) for n in range(16)]) for most in range(16)]
+_ONE = np.ones(1, np.int64)
 
 
 def _canonical(lengths: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,22 +153,29 @@ class PrefixCode:
     """A decoding table over the longest code's bits."""
 
     def __init__(self, lengths: list[int] | np.ndarray):
-        lengths = np.asarray(lengths)
-        used = np.flatnonzero(lengths)
+        lengths = np.asarray(lengths, np.uint8)
+        used = lengths.nonzero()[0]
         if not used.size:
             raise ValueError("a prefix code without symbols")
         if used.size == 1:
-            self.bits, self.entries = 0, used << 4
+            self.bits, self.coded, self.share = 0, used << 4, _ONE
         else:
+            order = lengths[used].argsort(kind="stable")
+            used = used[order]
             size = lengths[used]
-            self.bits = int(size.max())
-            share = 1 << (self.bits - size)
-            if share.sum() != 1 << self.bits:
+            self.bits = bits = int(size[-1])
+            self.coded, self.share = used << 4 | size, _SHARES[bits][size]
+            if int(self.share.sum()) != 1 << bits:
                 raise ValueError("a prefix code that is not complete")
-            order = np.argsort(size, kind="stable")
-            self.entries = np.repeat(used[order] << 4 | size[order], share[order])[_REVERSED[self.bits]]
+        self.held: np.ndarray | None = None
         self.table: list[int] | None = None
 
+    @property
+    def entries(self) -> np.ndarray:
+        if self.held is None:
+            self.held = self.coded.repeat(self.share)[_REVERSED[self.bits]]
+        return self.held
+
     def prepare(self) -> "PrefixCode":
         if self.table is None:
             self.table = self.entries.tolist()
@@ -185,6 +196,35 @@ def _length_code(n: int, value: int) -> PrefixCode:
     return PrefixCode(lengths).prepare()
 
 
+_TIMES = [bytes([n]) * 6 for n in range(16)]
+#: Bits of code lengths that are looked up at once.
+WINDOW = 12
+
+
+@lru_cache(64)
+def _window(n: int, value: int) -> list[tuple[bytes, int, int]] | None:
+    """What every WINDOW bits hold of a known code of code lengths: (lengths, their bits, the last that is not 0); up to a symbol that repeats the length before."""
+    if (n, value) not in _KNOWN:
+        return None
+    table, bits = _length_code(n, value).table, _length_code(n, value).bits
+    out = []
+    for w in range(1 << WINDOW):
+        found, p, last = b"", 0, 0
+        while True:
+            got = table[w >> p & (1 << bits) - 1]
+            size, s = got & 15, got >> 4
+            more = 3 if s == 17 else 7 if s == 18 else 0
+            if s == 16 or p + size + more > WINDOW:
+                break
+            if s < 16:
+                found, last = found + bytes([s]), s or last
+            else:
+                found += bytes((3 if s == 17 else 11) + (w >> p + size & (1 << more) - 1))
+            p += size + more
+        out.append((found, p, last))
+    return out
+
+
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):  # simple
         lengths, two = np.zeros(alphabet, np.int64), bits.read(1)
@@ -195,20 +235,30 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
         lengths[both] = 1
         return PrefixCode(lengths)
     n = 4 + bits.read(4)
-    code = _length_code(n, bits.read(3 * n))
-    most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
+    value = bits.read(3 * n)
+    code = _length_code(n, value)
+    limited = bits.read(1)
+    most = 2 + bits.read(2 + 2 * bits.read(3)) if limited else alphabet
     if most > alphabet:
         raise ValueError("too many code lengths")
     words, base, stop = bits.words(64)
     table, mask, p = code.table, (1 << code.bits) - 1, bits.at - base
-    lengths, last, total = [], 8, bits.end - base
+    window, whole = None if limited else _window(n, value), (1 << WINDOW) - 1
+    lengths, last, total = bytearray(), 8, bits.end - base
     while len(lengths) < alphabet and most:
         if p >= stop:
             bits.at = base + p
             words, base, stop = bits.words(64)
             p, total = bits.at - base, bits.end - base
-        most -= 1
         w = words[p >> 3] >> (p & 7)
+        if window is not None:
+            piece, used, newest = window[w & whole]
+            if used and len(lengths) + len(piece) <= alphabet:
+                lengths += piece
+                p += used
+                last = newest or last
+                continue
+        most -= 1
         got = table[w & mask]
         w >>= got & 15
         p += got & 15
@@ -217,20 +267,20 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
             lengths.append(s)
             last = s or last
         elif s == 16:
-            lengths += [last] * (3 + (w & 3))
+            lengths += _TIMES[last][: 3 + (w & 3)]
             p += 2
         elif s == 17:
-            lengths += [0] * (3 + (w & 7))
+            lengths += bytes(3 + (w & 7))
             p += 3
         else:
-            lengths += [0] * (11 + (w & 127))
+            lengths += bytes(11 + (w & 127))
             p += 7
-        if p > total:
-            raise ValueError("the stream ends too early")
+    if p > total:
+        raise ValueError("the stream ends too early")
     if len(lengths) > alphabet:
         raise ValueError("code lengths run over")
     bits.at = base + p
-    return PrefixCode(lengths + [0] * (alphabet - len(lengths)))
+    return PrefixCode(np.frombuffer(lengths.ljust(alphabet, b"\0"), np.uint8))
 
 
 # --- decoding -------------------------------------------------------------
@@ -274,7 +324,7 @@ def _read_group(bits: BitReader, codes: list[PrefixCode], width: int, count: int
     distance = codes[4].prepare()
     out, n = np.empty(count, np.uint32), 0
     source = np.arange(count) if cache_bits else out
-    slots = np.full(count if cache_bits else 0, -1)
+    slots = np.full(count, -1) if cache_bits else None
     while n < count:
         first = bits.at >> 3
         if first > len(bits.data):
@@ -321,15 +371,8 @@ def _read_group(bits: BitReader, codes: list[PrefixCode], width: int, count: int
             entry = here.take(at) & mask
             pixels |= symbol.take(entry).astype(np.uint32) << np.uint32(shift)
             at = at + size.take(entry)
-        if cache_bits:
-            symbol = symbols[0].take(index.take(np.array(chain, np.int64)))
-        k, to = 0, start
-        for before, place, length, d in [*runs, (len(chain), n, 0, 1)]:
-            out[to:place] = pixels[k:before]
-            if cache_bits:
-                slots[to:place] = symbol[k:before] - 280
-            k, to = before, place + length
-            source[place:to] = source[place - d : to - d] if d >= length else np.resize(source[place - d : place], length)
+        slot = symbols[0].take(index.take(np.array(chain, np.int64))) - 280 if cache_bits else None
+        _place(out, source, slots, pixels, slot, runs, start, n)
     if bits.at > bits.end:
         raise ValueError("the stream ends too early")
     return _from_cache(out, source, slots, cache_bits) if cache_bits else out
@@ -353,12 +396,154 @@ def _from_cache(pixels: np.ndarray, source: np.ndarray, slots: np.ndarray, cache
         source = further
 
 
-def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image, flat."""
+#: A token in _read_together: six bits of size, two free, the pixel, then 0 for a literal, or the green symbol less 255.
+_PIXEL, _KIND = 8, 40
+_LITERALS = np.int64(1 << _KIND)
+#: Steps between looks at what has ended; what a step and a pixel of _read_group take, in the same unit.
+_STEPS, _STEP_COST, _PIXEL_COST = 16, 60, 2
+
+
+def _read_together(images: list[tuple[BitReader, list[PrefixCode], int, int, int]]) -> list[np.ndarray]:
+    """What _read_group gives for each: (bits, codes, width, count, cache_bits).  All advance together, a token at a time.
+
+    An image that is much larger than the others is read by itself.
+    """
+    out: list[np.ndarray | None] = [None] * len(images)
+    by_size = sorted(range(len(images)), key=lambda k: -images[k][3])
+    sizes = np.array([images[k][3] for k in by_size], np.int64)
+    cost = _PIXEL_COST * np.r_[0, np.cumsum(sizes)] + _STEP_COST * np.r_[sizes, 0]
+    alone = int(cost.argmin())
+    for k in by_size[:alone]:
+        out[k] = _read_group(*images[k])
+    by_size = by_size[alone:]
+    if not by_size:
+        return out
+    own = [images[k] for k in by_size]
+    # all streams as one, all tables as one
+    lengths = np.array([len(x[0].data) for x in own])
+    base = 8 * (np.cumsum(lengths) - lengths)
+    raw = b"".join([x[0].data for x in own]) + bytes(32 * _STEPS)
+    words = np.ndarray((len(raw) - 8,), "<i8", raw, strides=(1,)).copy()
+    codes = [c for x in own for c in x[1][:4]]
+    coded = np.concatenate([c.coded for c in codes])
+    channel = (np.arange(len(codes)) & 3).repeat([len(c.coded) for c in codes])
+    symbol = coded >> 4
+    green = channel == 0
+    special = green & (symbol >= 256)
+    coded = coded & 15 | np.where(special, (symbol - 255) << _KIND, symbol << (np.array([8, 16, 0, 24]) + _PIXEL)[channel])
+    spread = np.array([1 << c.bits for c in codes])
+    table_at = np.cumsum(spread) - spread
+    table = coded.repeat(np.concatenate([c.share for c in codes]))[np.concatenate([_REVERSED[c.bits] for c in codes]) + table_at.repeat(spread)]
+    masks, tables = (spread - 1).reshape(-1, 4).T, table_at.reshape(-1, 4).T
+
+    who = np.arange(len(own))
+    p = base + np.array([x[0].at for x in own])
+    end = base + np.array([x[0].end for x in own])
+    count = np.array([x[3] for x in own])
+    left, taken = count.copy(), np.zeros(len(own), np.int64)
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}  # literals before, place, length, distance
+    tokens, owners = [], []
+    turn, name = np.arange(_STEPS)[:, None], np.min_scalar_type(len(own))
+    while len(who):
+        (m0, m1, m2, m3), (t0, t1, t2, t3) = np.ascontiguousarray(masks[:, who]), np.ascontiguousarray(tables[:, who])
+        kept = np.empty((_STEPS, len(who)), np.int64)
+        for step in range(_STEPS):  # an image that ends on the way reads on; that is dropped below
+            w = words.take(p >> 3)
+            w >>= p & 7
+            i = w & m0
+            i += t0
+            g = table.take(i)
+            w >>= g & 15
+            np.bitwise_and(w, m1, out=i)
+            i += t1
+            e = table.take(i)
+            w >>= e & 15
+            np.bitwise_and(w, m2, out=i)
+            i += t2
+            f = table.take(i)
+            w >>= f & 15
+            e += f
+            np.bitwise_and(w, m3, out=i)
+            i += t3
+            e += table.take(i)
+            e += g
+            other = g >= _LITERALS
+            kept[step] = e
+            if other.any():
+                np.copyto(e, g, where=other)
+                p += e & 63
+                kept[step] = e
+                for j in (other & (g < 25 << _KIND)).nonzero()[0].tolist():
+                    x = int(who[j])
+                    if left[x] <= step:
+                        continue
+                    bits, its, width, n, _ = own[x]
+                    bits.at = int(p[j] - base[x])
+                    length, d = _read_reference(bits, 255 + (int(g[j]) >> _KIND), its[4].prepare(), width)
+                    p[j] = base[x] + bits.at
+                    place = n - int(left[x]) + step
+                    if d > place or place + length > n:
+                        raise ValueError("a reference outside the image")
+                    mine = runs.setdefault(x, [])
+                    mine.append((int(taken[x]) + step - len(mine), place, length, d))
+                    left[x] -= length - 1
+            else:
+                p += e & 63
+        rest = left[who]
+        names = np.broadcast_to(who.astype(name), kept.shape)
+        ended = (rest <= _STEPS).nonzero()[0]
+        if len(ended):
+            true = turn < rest
+            p[ended] -= np.where(true[:, ended], 0, kept[:, ended] & 63).sum(0)
+            tokens.append(kept[true])
+            owners.append(names[true])
+        else:
+            tokens.append(kept.ravel())
+            owners.append(names.ravel())
+        if (p > end[who]).any():
+            raise ValueError("the stream ends too early")
+        taken[who] += np.minimum(rest, _STEPS)
+        left[who] -= _STEPS
+        if len(ended):
+            going = rest > _STEPS
+            who, p = who[going], p[going]
+    order = np.argsort(np.concatenate(owners), kind="stable")  # a radix sort
+    every = np.concatenate(tokens)[order]
+    pixels = (every >> _PIXEL).astype(np.uint32)
+    cuts = np.r_[0, np.cumsum(taken)].tolist()
+    for x, k in enumerate(by_size):
+        a, b = cuts[x], cuts[x + 1]
+        mine, cache_bits = runs.get(x), own[x][4]
+        if not mine and not cache_bits:
+            out[k] = pixels[a:b].copy()
+            continue
+        kind = every[a:b] >> _KIND
+        literal = (kind == 0) | (kind >= 25)
+        n = int(count[x])
+        image = np.empty(n, np.uint32)
+        source, slots = (np.arange(n), np.full(n, -1)) if cache_bits else (image, None)
+        _place(image, source, slots, pixels[a:b][literal], kind[literal] - 25, mine or [], 0, n)
+        out[k] = _from_cache(image, source, slots, cache_bits) if cache_bits else image
+    return out
+
+
+def _place(out: np.ndarray, source: np.ndarray, slots: np.ndarray | None, pixels: np.ndarray, slot: np.ndarray | None, runs: list[tuple[int, int, int, int]], start: int, end: int) -> None:
+    """Writes pixels from the place ``start`` to ``end``, and what the references between them copy."""
+    k, to = 0, start
+    for before, place, length, d in [*runs, (len(pixels), end, 0, 1)]:
+        out[to:place] = pixels[k:before]
+        if slots is not None:
+            slots[to:place] = slot[k:before]
+        k, to = before, place + length
+        source[place:to] = source[place - d : to - d] if d >= length else np.resize(source[place - d : place], length)
+
+
+def _begin_image(bits: BitReader, width: int, height: int, main: bool) -> tuple[list[list[PrefixCode]], list[int] | None, int, int, int]:
+    """What stands before an image's tokens: (prefix groups, the group of every block, its side in bits, blocks in a row, cache_bits)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("a colour cache that is too large")
-    groups, owner, meta_bits = 1, None, 0
+    groups, owner, meta_bits, meta_width = 1, None, 0, 0
     if main and bits.read(1):
         meta_bits = bits.read(3) + 2
         meta_width = _ceil_shift(width, meta_bits)
@@ -366,9 +551,22 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
         owner = (meta >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64).tolist()
         groups = max(owner) + 1
     alphabets = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_read_code(bits, n) for n in alphabets] for _ in range(groups)]
+    return [[_read_code(bits, n) for n in alphabets] for _ in range(groups)], owner, meta_bits, meta_width, cache_bits
+
+
+def _fits(codes: list[list[PrefixCode]]) -> bool:
+    """Whether there is one group, whose literals fit a word."""
+    return len(codes) == 1 and sum(c.bits for c in codes[0][:4]) <= 57
+
+
+def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image, flat."""
+    return _read_tokens(bits, width, height, *_begin_image(bits, width, height, main))
+
+
+def _read_tokens(bits: BitReader, width: int, height: int, codes: list[list[PrefixCode]], owner: list[int] | None, meta_bits: int, meta_width: int, cache_bits: int) -> np.ndarray:
     count = width * height
-    if groups == 1 and sum(c.bits for c in codes[0][:4]) <= 57:
+    if _fits(codes):
         return _read_group(bits, codes[0], width, count, cache_bits)
     for group in codes:
         for c in group:
@@ -521,8 +719,8 @@ def _palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ARGB pixels (height, width) of a lossless WebP file."""
+def _open(data: bytes) -> tuple[BitReader, int, int, list]:
+    """(bits from the main image on, its width, its height, what undoes the transforms) of a lossless WebP file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -538,7 +736,7 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("an unknown version")
-    undo, seen, full_width = [], set(), width
+    undo, seen = [], set()
     while bits.read(1):
         kind = bits.read(2)
         if kind in seen:
@@ -573,13 +771,40 @@ def decode(data: bytes) -> np.ndarray:
                 return full[index]
 
             undo.append(restore)
-    pixels = _read_image(bits, width, height, True).reshape(height, width)
+    return bits, width, height, undo
+
+
+def _undone(flat: np.ndarray, width: int, height: int, undo: list) -> np.ndarray:
+    pixels = flat.reshape(height, width)
     for f in reversed(undo):
         pixels = f(pixels)
-    assert pixels.shape == (height, full_width)
     return pixels
 
 
+def decode(data: bytes) -> np.ndarray:
+    """The ARGB pixels (height, width) of a lossless WebP file."""
+    bits, width, height, undo = _open(data)
+    return _undone(_read_image(bits, width, height, True), width, height, undo)
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """decode() of each; the tokens of those of one prefix group are read together."""
+    flat: list[np.ndarray | None] = [None] * len(files)
+    opened, together, places = [], [], []
+    for k, data in enumerate(files):
+        bits, width, height, undo = _open(data)
+        opened.append((width, height, undo))
+        begun = _begin_image(bits, width, height, True)
+        if _fits(begun[0]):
+            together.append((bits, begun[0][0], width, width * height, begun[-1]))
+            places.append(k)
+        else:
+            flat[k] = _read_tokens(bits, width, height, *begun)
+    for k, found in zip(places, _read_together(together)):
+        flat[k] = found
+    return [_undone(x, *how) for x, how in zip(flat, opened)]
+
+
 # --- encoding -------------------------------------------------------------
 
 
@@ -629,7 +854,7 @@ def _write_codes(out: BitWriter, lengths: np.ndarray, owner: np.ndarray, bounds:
     start = new.nonzero()[0]
     value, of = lengths[start], owner[start]
     one = value > 0  # a length is written before it is repeated
-    full, rest = np.divmod(np.diff(start, append=len(lengths)) - one, np.where(one, 6, 138))
+    full, rest = np.divmod(np.diff(np.r_[start, len(lengths)]) - one, np.where(one, 6, 138))
     tail = rest >= 3
     parts = np.empty((4, len(value), 4), np.int64)  # symbols, repetitions, codes, times of a run's parts
     symbols, repeated, codes, times = parts
@@ -654,9 +879,12 @@ def _write_codes(out: BitWriter, lengths: np.ndarray, owner: np.ndarray, bounds:
     symbols, extras, codes = symbols[written], extras[written], codes[written]
     k = chosen[codes]
     size = _LENGTH_BITS[k, symbols]
-    at = np.searchsorted(codes, np.arange(n))
-    head, head_bits = (np.array(x, d) for x, d in zip(zip(*heads), (np.uint64, np.int64)))
-    out.write_all(np.insert(_LENGTH_TABLE[k, symbols] | extras << size.astype(np.uint64), at, head), np.insert(size + _EXTRA_BITS[symbols], at, head_bits))
+    at = np.searchsorted(codes, np.arange(n)) + np.arange(n)
+    body = np.arange(len(codes)) + codes + 1  # every code's head goes before it
+    values, sizes = np.empty(n + len(codes), np.uint64), np.empty(n + len(codes), np.int64)
+    values[at], sizes[at] = (np.array(x, d) for x, d in zip(zip(*heads), (np.uint64, np.int64)))
+    values[body], sizes[body] = _LENGTH_TABLE[k, symbols] | extras << size.astype(np.uint64), size + _EXTRA_BITS[symbols]
+    out.write_all(values, sizes)
 
 
 _EXTRA_BITS = np.array([0] * 16 + [2, 3, 7])
@@ -685,6 +913,8 @@ def _length_codes() -> list[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 _LENGTH_CODES = _length_codes()
+#: Numbers of fields and values of these codes, as they are written.
+_KNOWN = {(4 + (x[0] & 15), x[0] >> 4) for x in _LENGTH_CODES}
 _LENGTH_BITS, _HEAD_BITS, _LENGTH_TABLE = np.array(LENGTH_LENGTHS), np.array([x[1] for x in _LENGTH_CODES]), np.stack([x[3] for x in _LENGTH_CODES])
 
 
@@ -779,6 +1009,12 @@ def _cache_for(pixels: np.ndarray, literal: np.ndarray, sizes: tuple[int, ...])
     return best
 
 
+@lru_cache(64)
+def _near_codes(width: int) -> dict[int, int]:
+    """The least code of every distance that the distance map names."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed([*enumerate(DISTANCE_MAP)])}
+
+
 _FIVE = np.arange(5)
 
 
@@ -816,7 +1052,7 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
         cached = there[at] & ~refers
         first[cached] = 280 + slot[at[cached]]
     if found:
-        codes_of = {max(1, x + y * width): k + 1 for k, (x, y) in reversed([*enumerate(DISTANCE_MAP)])}
+        codes_of = _near_codes(width)
         length, length_extra, length_bits = _prefix(np.array([n for _, n, _ in found]))
         far, far_extra, far_bits = _prefix(np.array([codes_of.get(d, d + 120) for _, _, d in found]))
         first[refers] = 256 + length
@@ -839,10 +1075,13 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
         sizes, codes = _canonical(lengths, owner)
         rest = (own & ~plain).nonzero()[0]
         value[rest], size[rest] = codes[first[rest]], sizes[first[rest]]
-        each = sizes[merged]
-        shift = np.cumsum(each, 1) - each
-        value[literals] = np.bitwise_or.reduce(codes[merged] << shift.astype(np.uint64), 1)
-        size[literals] = each.sum(1)
+        columns = np.ascontiguousarray(merged.T)
+        each, bits = sizes.take(columns), codes.take(columns)
+        end, whole = each[0], bits[0]
+        for k in (1, 2, 3):
+            whole |= bits[k] << end.view(np.uint64)
+            end += each[k]
+        value[literals], size[literals] = whole, end
         if found and references_.any():
             here, k = np.flatnonzero(refers)[references_], np.flatnonzero(references_)
             for more, n in ((length_extra[k], length_bits[k]), (codes[begin[4] + far[k]], sizes[begin[4] + far[k]]), (far_extra[k], far_bits[k])):
@@ -971,6 +1210,11 @@ def load(media: bytes, payload_bytes: int) -> np.ndarray:
     return _bytes_of(decode(media).ravel())[:, [2, 1, 0, 3]].reshape(-1)[:payload_bytes]
 
 
+def load_all(media: list[bytes], payload_bytes: list[int]) -> list[np.ndarray]:
+    """load() of each."""
+    return [_bytes_of(p.ravel())[:, [2, 1, 0, 3]].reshape(-1)[:n] for p, n in zip(decode_all(media), payload_bytes)]
+
+
 def features(samples: np.ndarray) -> str:
     """Moments, distinct values and a 16-bin histogram of 8-bit samples, as exact integers."""
     counts = np.bincount(samples, minlength=256)
@@ -1012,22 +1256,55 @@ def pixel_columns(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def digest_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store, read back and describe every text within its task; the media bytes do not leave it."""
+    """Store, read back and describe every text within its task; the media bytes do not leave it.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for text in batch.column(1):
-            payload, size = payload_of(text.as_py())
-            media = store(payload)
-            samples = load(media, len(payload))
-            back = samples.tobytes()
-            rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+    A few thousand stored forms are read back together: the longer the list, the less a step of the decoder costs each.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        rows: list[tuple] = []
+        sizes: list[int] = []
+        padded: list[int] = []
+        held: list[bytes] = []
+
+        def read_back() -> None:
+            for size, media, samples in zip(sizes, held, load_all(held, padded)):
+                back = samples.tobytes()
+                rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
+            for x in (sizes, padded, held):
+                x.clear()
+
+        def out() -> pa.RecordBatch:
+            read_back()
+            columns = [pa.concat_arrays(ids), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))]
+            ids.clear()
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids.append(batch.column(0))
+            waiting = sum(padded)
+            for text in batch.column(1):
+                payload, size = payload_of(text.as_py())
+                sizes.append(size)
+                padded.append(len(payload))
+                held.append(store(payload))
+                waiting += len(payload)
+                if waiting >= READ_BYTES:
+                    read_back()
+                    waiting = 0
+            if len(rows) + len(held) >= READ_ROWS:
+                yield out()
+        if ids:
+            yield out()
+
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, text_col), run, f"{id_col} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op5_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,33 @@ def test_ordinary_payloads_go_through_the_whole_encoder(monkeypatch):
         assert webp.load(webp.store(data), len(data)).tobytes() == data
 
 
+def test_stored_forms_are_read_together(monkeypatch):
+    """Many streams advance together, whatever their lengths, references, caches and transforms; damage is noticed."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("eeeetaoinshrdluüж中") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    prose = [" ".join(rng.choice(words) for _ in range(rng.choice((0, 3, 40, 200, 400)))) for _ in range(120)]
+    texts = [*prose, *ODD, *(x * 3 for x in prose[:20]), "ab" * 700, "\n".join(words[:9] * 40), "".join(map(chr, range(32, 3000)))]
+    payloads = [webp.payload_of(t)[0] for t in texts]
+    pixels = np.random.default_rng(1).integers(0, 1 << 32, (40, 16), dtype=np.uint32)
+    pixels[20:] = pixels[:20] ^ np.uint32(1)
+    files = [*map(webp.store, payloads), webp.encode(pixels, cache_bits=5), webp.encode(pixels, groups=np.arange(40).reshape(10, 4) % 3)]
+    one_by_one, alone = [webp.decode(x) for x in files], []
+    group = webp._read_group
+    monkeypatch.setattr(webp, "_read_group", lambda *args: alone.append(args[3]) or group(*args))
+    together = webp.decode_all(files)
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(together, one_by_one)) and len(together) == len(files)
+    assert [x.tobytes() for x in webp.load_all(files[: len(payloads)], [len(x) for x in payloads])] == payloads
+    assert len([n for n in alone if n > 256]) < 40  # palettes and the like are read by themselves
+    assert webp.decode_all([]) == []
+    stream = files[0][20:-8]
+    damaged = webp._container(stream)
+    with pytest.raises(ValueError):
+        webp.decode(damaged)
+    for at in (0, 60):
+        with pytest.raises(ValueError):
+            webp.decode_all([*files[:at], damaged, *files[at:120]])
+
+
 def test_codes_of_code_lengths_are_complete():
     for lengths in webp.LENGTH_LENGTHS:
         assert len(lengths) == 19 and all(lengths) and sum(2.0**-n for n in lengths) == 1
