@@ -222,13 +222,17 @@ class LogBilinear:
             p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        """contexts: CONTEXT x n outcomes, the nearest first; a last column of ones meets the biases."""
+    def hidden(self, contexts: np.ndarray, seen: list[np.ndarray] | None = None) -> np.ndarray:
+        """contexts: CONTEXT x n outcomes, the nearest first; a last column of ones meets the biases.  seen: their vectors, if they are at hand."""
         h = np.ones((contexts.shape[1], WIDTH + 1), np.float32)
         own = h[:, :-1]
-        np.multiply(self.seen[contexts[0]], self.mix[0], out=own)
-        for k in range(1, CONTEXT):
-            own += self.seen[contexts[k]] * self.mix[k]
+        for k in range(CONTEXT):
+            part = (self.seen.take(contexts[k], 0) if seen is None else seen[k]) * self.mix[k]
+            if k:
+                total += part
+            else:
+                total = part
+        own[...] = total
         return h
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 15) -> np.ndarray:
@@ -237,13 +241,14 @@ class LogBilinear:
         place = np.empty(len(self.class_of), np.int64)
         place[self.order] = np.arange(len(self.order))
         by_class = self.words[self.order]
-        longest = math.sqrt(max(float((w**2).sum(1).max(initial=0)) for w in (self.classes, self.words)))
+        longest = math.sqrt(max(float((w[:, :-1] ** 2).sum(1).max(initial=0)) for w in (self.classes, self.words)))
+        bias = max(float(np.abs(w[:, -1]).max(initial=0)) for w in (self.classes, self.words))
         for k in range(0, len(targets), step):
             t = targets[k : k + step]
             c = self.class_of[t]
             order = np.argsort(c.astype(np.int16), kind="stable")
-            h = self.hidden(contexts[:, k : k + step][:, order])
-            safe = math.sqrt(float((h**2).sum(1).max(initial=0))) * longest < 80  # no exponential overflows
+            h = self.hidden(contexts[:, k : k + step].take(order, 1))
+            safe = math.sqrt(float((h[:, :-1] ** 2).sum(1).max(initial=0))) * longest + bias < 80  # no exponential overflows
             c, t = c[order], t[order]
             got = np.empty(len(t), np.float32)
             for a in range(0, len(t), 1024):
@@ -267,32 +272,47 @@ class LogBilinear:
         An outcome's score among all is its score within its class but for a number that the whole class shares.
         """
         n = len(targets)
-        h = self.hidden(contexts)
+        seen = [self.seen.take(contexts[k], 0) for k in range(CONTEXT)]
+        h = self.hidden(contexts, seen)
         gh, grads = np.zeros((n, WIDTH), np.float32), []
         for k, own, vectors in ((0, self.class_of[targets], self.classes), (1, targets, self.words)):
             noise = np.minimum(np.searchsorted(self.drawn[k], rng.random(NOISE)), len(vectors) - 1)
-            these, others, log_kp = vectors[own], vectors[noise], self.logs[k]
+            these, others, log_kp = vectors.take(own, 0), vectors.take(noise, 0), self.logs[k]
             true = _sigmoid(np.einsum("nd,nd->n", h, these) - log_kp[own]) - 1
-            false = _sigmoid(h @ others.T - log_kp[noise])
+            false = h @ others.T
+            false -= log_kp[noise]
+            false = _sigmoid(false)
             gh += true[:, None] * these[:, :-1]
             gh += false @ others[:, :-1]
-            grads.append(_scatter(np.concatenate([own, noise]), np.concatenate([true[:, None] * h, false.T @ h])))
+            grads.append(_scatter(np.concatenate([own, noise]), np.concatenate([true[:, None] * h, (h.T @ false).T])))
         grads = [_scatter(contexts.ravel(), (gh * self.mix[:, None]).reshape(-1, WIDTH)), *grads]
-        g_mix = np.stack([np.einsum("nd,nd->d", gh, self.seen[contexts[k]]) for k in range(CONTEXT)])
-        for p, (rows, g), sq in zip(self.parameters(), (*grads, (slice(None), g_mix)), self.squares):
+        g_mix = np.stack([np.einsum("nd,nd->d", gh, seen[k]) for k in range(CONTEXT)])
+        for p, (rows, g), sq in zip(self.parameters(), (*grads, (np.arange(CONTEXT), g_mix)), self.squares):
             g /= n
-            new = sq[rows] + g * g
-            sq[rows] = new
-            p[rows] -= rate * g / (np.sqrt(new) + 1e-7)
+            new = sq.take(rows, 0)
+            new += g * g
+            _put(sq, rows, new)
+            np.sqrt(new, out=new)
+            new += 1e-7
+            g *= rate
+            g /= new
+            _put(p, rows, p.take(rows, 0) - g)
 
 
 def _log_share(scores: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
     """log softmax of every row at one place; overwrites scores."""
     if not safe:
         scores -= scores.max(1, keepdims=True)
-    picked = scores[np.arange(len(at)), at]
+    wide = scores.shape[1]
+    picked = scores.ravel().take(np.arange(0, wide * len(at), wide) + at)
     np.exp(scores, out=scores)
-    return picked - np.log(scores.sum(1))
+    return picked - np.log(scores @ np.ones(wide, np.float32))
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] = values, a row as one item."""
+    item = np.dtype((np.void, table.strides[0]))
+    table.view(item)[:, 0][rows] = np.ascontiguousarray(values).view(item)[:, 0]
 
 
 def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +320,7 @@ def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
     ordered = rows[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[starts], np.add.reduceat(values[order], starts)
+    return ordered[starts], np.add.reduceat(values.take(order, 0), starts)
 
 
 def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +346,7 @@ def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int,
         order = rng.permutation(len(targets))
         for k in range(0, len(order), BATCH):
             ids = order[k : k + BATCH]
-            model.update(contexts[:, ids], targets[ids], rng, rate)
+            model.update(contexts.take(ids, 1), targets.take(ids), rng, rate)
 
     for d in documents:
         held.append(d)

@@ -148,3 +148,21 @@ def test_windows_follow_documents():
 def test_language_model_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm.assess(df, F.lit(True)).count() == 0
+
+
+def test_scores_of_a_rare_large_bias_need_no_maximum(monkeypatch):
+    """Large biases alone do not send every batch through the search for its maximum; the logarithms stay normalised."""
+    rng = np.random.default_rng(3)
+    class_of = np.r_[0, np.sort(rng.integers(1, 5, 60)), np.arange(5)]
+    frequency = np.r_[50_000_000, rng.integers(1, 100, 60), np.ones(5, np.int64)]
+    model = lm.LogBilinear(class_of, frequency)
+    for table in (model.classes, model.words):
+        table[:, :-1] *= 10
+    contexts = rng.integers(0, len(class_of), (lm.CONTEXT, 200))
+    seen, share = [], lm._log_share
+    monkeypatch.setattr(lm, "_log_share", lambda scores, at, safe: seen.append(safe) or share(scores, at, safe))
+    model.seen *= 20
+    total = sum(np.exp(model.log_probabilities(contexts, np.full(200, w)).astype(np.float64)) for w in range(len(class_of)))
+    assert np.allclose(total, 1, atol=1e-4) and all(seen)
+    model.words[3, :-1] = 1e4
+    assert np.isfinite(model.log_probabilities(contexts, np.full(200, 2))).all() and not all(seen)
