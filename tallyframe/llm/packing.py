@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import default_path
+from .bpe import byte_symbols, default_path
 from .common import map_arrow, table
 
 CAPACITY = 4096
@@ -63,6 +63,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        names = byte_symbols()
+        self.symbols = {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
         self.memory = memory  # of one generation
         self.held = 0
         self.known: dict[bytes, bytes] = {}
@@ -82,13 +84,16 @@ class WordIds:
             return None
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that the tokenizer leaves whole."""
-        out = {}
+        """The ids of words that the tokenizer leaves whole: its model takes their UTF-8 bytes as symbols."""
+        out, tokenize, symbols = {}, self.tokenizer.model.tokenize, self.symbols
         for k in range(0, len(words), 4000):
             part = words[k : k + 4000]
-            got = self.tokenizer.encode([w.decode("latin-1") for w in part], is_pretokenized=True, add_special_tokens=False)
-            packed = np.array(got.ids, "<u4").tobytes()
-            cuts = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * 4).tolist()
+            ids: list[int] = []
+            cuts = [0]
+            for w in part:
+                ids += [t.id for t in tokenize(w.decode("latin-1").translate(symbols))]
+                cuts.append(4 * len(ids))
+            packed = np.array(ids, "<u4").tobytes()
             out.update((w, packed[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
         return out
 

@@ -124,6 +124,26 @@ def test_word_memo_is_bounded(reference):
     assert max(map(len, own.known)) <= own.LONGEST and len(own.known) + len(own.old) < 64 * 50 * 4
 
 
+def test_words_are_learned_from_their_symbols(reference):
+    class Counted:
+        """The tokenizer, but texts that are encoded whole are counted."""
+
+        def __init__(self):
+            self.model, self.calls = reference.model, 0
+
+        def encode(self, *args, **more):
+            self.calls += 1
+            return reference.encode(*args, **more)
+
+    own = packing.WordIds(bpe.default_path())
+    own.tokenizer = counted = Counted()
+    latin = "".join(map(chr, range(256)))
+    texts = [latin, " ".join(latin), "x" * 70000, "Déjà 12 vu… ß's ''s !'re \x7f\xad", "中 é", "a<|endoftext|>b"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.texts(iter(texts))]
+    assert got == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counted.calls == 3  # beyond Latin-1 (…, 中), added tokens
+
+
 def test_packing_query(spark, reference):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id bigint, text string, length string")
     rows = packing.pack_documents(df, bpe.default_path()).collect()
