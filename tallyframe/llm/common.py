@@ -92,7 +92,8 @@ def _settle() -> None:
         pass
 
 
-def _release() -> None:
+def release() -> None:
+    """Freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -106,7 +107,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _settle()
         yield from fn(batches)
-        _release()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, table
+from .common import crc_mod, map_batches, release, table
 
 BUCKET_BITS = 15
 MAX_TRAIN = 6000
@@ -151,14 +151,17 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, max_train:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [ngram_counts(t.as_py()) for t in batch.column(1)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([None if g is None else g[0] for g in got], pa.list_(pa.int32())), pa.array([None if g is None else g[1] for g in got], pa.list_(pa.int64())), batch.column(2).cast(pa.string())],
+            [batch.column(0), pa.array([None if g is None else g[0] for g in got], pa.list_(pa.int32())), pa.array([None if g is None else g[1] for g in got], pa.list_(pa.int32())), batch.column(2).cast(pa.string())],
             ["rank", "buckets", "counts", "label"],
         )
 
     sample = own.filter(rank <= F.lit(last)).select(rank.alias("rank"), text_col, label_col)
-    rows = map_batches(sample, run, "rank bigint, buckets array<int>, counts array<bigint>, label string").filter("buckets is not null").toArrow().sort_by([("rank", "ascending"), ("label", "ascending")])
+    rows = map_batches(sample, run, "rank bigint, buckets array<int>, counts array<int>, label string").filter("buckets is not null").toArrow().sort_by([("rank", "ascending"), ("label", "ascending")])
     columns = [rows.column(c).combine_chunks() for c in ("buckets", "counts")]
-    return fit([(b.values.to_numpy(), c.values.to_numpy(), y.as_py()) for b, c, y in zip(*columns, rows.column("label"))][:max_train])
+    model = fit([(b.values.to_numpy(), c.values.to_numpy(), y.as_py()) for b, c, y in zip(*columns, rows.column("label"))][:max_train])
+    del rows, columns
+    release()
+    return model
 
 
 def score_documents(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ from .common import Scratch, map_arrow
 BUCKET = 4096
 #: Rows and bytes that a task holds while it searches, unless one unit is larger.
 HELD, HELD_BYTES = 1 << 15, 1 << 26
+#: Edges up to which one task finds all components (it holds about 100 bytes for each).
+CONTRACTED = 1 << 20
 #: Bytes of a side that may be broadcast, as estimated from its rows; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 
@@ -37,11 +39,40 @@ def sized(small: DataFrame, width: Column | int = 48) -> DataFrame:
     return F.broadcast(small) if (total or 0) <= BROADCAST_BYTES else small
 
 
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes of the edges (a, b), the smallest node that each is connected with)."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    x, y = place[: len(a)], place[len(a) :]
+    while len(x):  # both ends are roots
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(label, y, x)
+        while (label[label] != label).any():
+            label = label[label]
+        x, y = label[x], label[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[label]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(node, component) of kept edges (a, b), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if ends:
+            node, component = smallest(*(np.concatenate(x) for x in zip(*ends)))
+            for k in range(0, len(node), HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(node[k : k + HELD]), pa.array(component[k : k + HELD])], ["node", "component"])
+
+    return map_arrow(edges.coalesce(1), run, "node bigint, component bigint")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of all nodes in edges (a, b); the component is its smallest node.
 
-    Alternating large-star and small-star steps; minima are pre-aggregated, so
-    that a hub is one key of a sum and not one task's list.
+    Few edges go through one task, which saves the driver the plans of all
+    rounds.  Many take alternating large-star and small-star steps; minima are
+    pre-aggregated, so that a hub is one key of a sum and not one task's list.
     """
 
     def size(e: DataFrame) -> tuple:
@@ -49,6 +80,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = size(now)
+    if before[0] <= CONTRACTED and dict(now.dtypes)["a"] == "bigint":
+        return contracted(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

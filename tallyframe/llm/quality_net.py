@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, table
+from .common import crc_mod, map_batches, release, table
 
 MAX_TRAIN = 5000
 MAX_BYTES = 1 << 15
@@ -153,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = own.orderBy("_rank", "_label").limit(max_train)
     found = docs.filter(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= max_bytes).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     got = found.join(F.broadcast(sample), "_id").select("_rank", "_label", "_text").toArrow().sort_by([("_rank", "ascending"), ("_label", "ascending"), ("_text", "ascending")])
-    return fit(list(zip(got.column("_text").to_pylist(), got.column("_label").to_pylist()))[:max_train])
+    net = fit(list(zip(got.column("_text").to_pylist(), got.column("_label").to_pylist()))[:max_train])
+    del got
+    release()
+    return net
 
 
 def score_documents(df: DataFrame, net: QualityNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,6 +120,19 @@ def test_components(spark):
     assert linking.connected_components(df.limit(0), Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_few_edges_are_contracted_in_one_task(spark, monkeypatch, most):
+    rng = random.Random(7)
+    monkeypatch.setattr(linking, "CONTRACTED", most)
+    edges = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(i, i - 1) for i in range(200, 230)] + [(600, 500 + i) for i in range(40)] + [(7, 7)]
+    scratch = Scratch(spark)
+    got = {r.node: r.component for r in linking.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), scratch).collect()}
+    node, component = linking.smallest(*np.array([e for e in edges if e[0] != e[1]]).T)
+    assert got == dict(zip(node.tolist(), component.tolist()))
+    assert all(got[a] == got[b] <= min(a, b) for a, b in edges if a != b) and all(got[c] == c for c in got.values())
+    assert (scratch.count == 1) == (most > 0)  # tables written, each a plan that the driver holds
+
+
 def test_word_hashes_follow_the_words():
     rng = random.Random(9)
     for _ in range(300):
