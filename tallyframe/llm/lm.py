@@ -34,7 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,21 +49,22 @@ MIN_COUNT, MAX_WORDS = 32, 60_000
 LISTED = 200_000
 #: Distinct tokens counted at once in a task.
 COUNTED = 200_000
-#: Noise classes and noise words, shared within a batch; tokens of a batch.
-NOISE, BATCH = 64, 2048
+#: Noise classes and noise words, shared within a batch; places of a batch, and neighbours that come to a batch together.
+NOISE, BATCH, STRETCH = 64, 2048, 64
 RATE = 0.08
 #: Tokens that a shard should have, the most shards, and the parts between averages.
 SHARD_TOKENS, MAX_SHARDS, ROUNDS = 8 << 20, 4096, 4
 #: Parameters that travel together; tokens that are scored together.
-CHUNK, SCORED = 1 << 16, 1 << 16
+CHUNK, SCORED = 1 << 16, 1 << 17
 #: No word holds white space, so this is no word.
 END = b" "
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
-def tokens_of(text: str | None) -> list[bytes]:
+def tokens_of(text: str | bytes | None) -> list[bytes]:
     """Words of the ASCII-lower-cased text, without the end token."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return raw.lower().split()
 
 
 def ending(word: bytes) -> int:
@@ -132,7 +133,7 @@ def count_tokens(df: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
+            for text in batch.column(0).cast(pa.binary()):
                 counts.update(tokens_of(text.as_py()))
                 counts[END] += 1
                 if len(counts) > COUNTED:
@@ -176,11 +177,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(Listed(zip(words, range(len(words)))), n, own, class_of, frequency, rare_tokens, rare_types, end, tokens, types, 1 + endings % (n_classes - 1))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Overwrites x."""
-    np.clip(x, -20, 20, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)); overwrites x.  An exponential that overflows gives 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -222,81 +222,109 @@ class LogBilinear:
             p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def hidden(self, contexts: np.ndarray, seen: list[np.ndarray] | None = None) -> np.ndarray:
-        """contexts: CONTEXT x n outcomes, the nearest first; a last column of ones meets the biases.  seen: their vectors, if they are at hand."""
-        h = np.ones((contexts.shape[1], WIDTH + 1), np.float32)
-        own = h[:, :-1]
-        for k in range(CONTEXT):
-            part = (self.seen.take(contexts[k], 0) if seen is None else seen[k]) * self.mix[k]
-            if k:
-                total += part
-            else:
-                total = part
-        own[...] = total
+    def hidden(self, seen: list[np.ndarray]) -> np.ndarray:
+        """seen: the vectors of CONTEXT outcomes, the nearest first, any number of them in a row; a last column of ones meets the biases."""
+        mix = np.tile(self.mix, seen[0].shape[1] // WIDTH)
+        total = seen[0] * mix[0]
+        for k in range(1, CONTEXT):
+            total += seen[k] * mix[k]
+        h = np.ones((total.size // WIDTH, WIDTH + 1), np.float32)
+        h[:, :-1] = total.reshape(-1, WIDTH)
         return h
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-        """Natural logarithms of the targets' probabilities, normalised over classes and over each class's outcomes."""
-        out = np.empty(len(targets), np.float32)
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Natural logarithms of the targets' probabilities, normalised over classes and over each class's outcomes.  contexts: CONTEXT x n outcomes, the nearest first."""
+        parts = ((self.hidden([self.seen.take(c[k : k + step], 0) for c in contexts]), targets[k : k + step]) for k in range(0, len(targets), step))
+        return self._shares(parts)
+
+    def log_probabilities_of(self, documents: list[np.ndarray], step: int = 1 << 16) -> np.ndarray:
+        """``log_probabilities`` of the ``windows`` of documents; a vector is fetched once for all windows that hold it."""
+        stream, goal = laid(documents)
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for k in range(CONTEXT, len(stream), step):
+                here = stream[k - CONTEXT : k + step]
+                seen, n = self.seen.take(here, 0).reshape(1, -1), len(here) - CONTEXT
+                at = np.flatnonzero(goal[k : k + step])
+                yield self.hidden([seen[:, WIDTH * (CONTEXT - i) : WIDTH * (CONTEXT - i + n)] for i in range(1, CONTEXT + 1)]).take(at, 0), here[CONTEXT:][at]
+
+        return self._shares(parts())
+
+    def _shares(self, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         place = np.empty(len(self.class_of), np.int64)
         place[self.order] = np.arange(len(self.order))
         by_class = self.words[self.order]
         longest = math.sqrt(max(float((w[:, :-1] ** 2).sum(1).max(initial=0)) for w in (self.classes, self.words)))
         bias = max(float(np.abs(w[:, -1]).max(initial=0)) for w in (self.classes, self.words))
-        for k in range(0, len(targets), step):
-            t = targets[k : k + step]
+        found = [np.zeros(0, np.float32)]
+        for h, t in parts:
             c = self.class_of[t]
             order = np.argsort(c.astype(np.int16), kind="stable")
-            h = self.hidden(contexts[:, k : k + step].take(order, 1))
-            safe = math.sqrt(float((h[:, :-1] ** 2).sum(1).max(initial=0))) * longest + bias < 80  # no exponential overflows
-            c, t = c[order], t[order]
+            h = h.take(order, 0)
+            safe = math.sqrt(float(np.einsum("nd,nd->n", h[:, :-1], h[:, :-1]).max(initial=0))) * longest + bias < 80  # no exponential overflows
+            c, t = c[order], place[t[order]]
             got = np.empty(len(t), np.float32)
             for a in range(0, len(t), 1024):
                 got[a : a + 1024] = _log_share(h[a : a + 1024] @ self.classes.T, c[a : a + 1024], safe)
-            cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+            cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])[: len(c) + 1]
             for a, b in zip(cuts, cuts[1:]):
                 low, high = self.begin[c[a]], self.begin[c[a] + 1]
                 if high - low == 1:
                     continue
                 weights = by_class[low:high].T
-                wide = max(1, (1 << 19) // (high - low))
+                wide = max(1, (1 << 18) // (high - low))
                 for i in range(a, b, wide):
                     j = min(b, i + wide)
-                    got[i:j] += _log_share(h[i:j] @ weights, place[t[i:j]] - low, safe)
-            out[k + order] = got
-        return out
+                    got[i:j] += _log_share(h[i:j] @ weights, t[i:j] - low, safe)
+            out = np.empty(len(t), np.float32)
+            out[order] = got
+            found.append(out)
+        return np.concatenate(found)
 
-    def update(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator, rate: float) -> None:
+    def update(self, stretches: np.ndarray, goal: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One AdaGrad step of noise-contrastive estimation on a batch: of classes, and of outcomes among all.
 
+        stretches: rows of neighbouring outcomes, of which all but the first CONTEXT are learnt where goal says so.
         An outcome's score among all is its score within its class but for a number that the whole class shares.
         """
-        n = len(targets)
-        seen = [self.seen.take(contexts[k], 0) for k in range(CONTEXT)]
-        h = self.hidden(contexts, seen)
-        gh, grads = np.zeros((n, WIDTH), np.float32), []
-        for k, own, vectors in ((0, self.class_of[targets], self.classes), (1, targets, self.words)):
-            noise = np.minimum(np.searchsorted(self.drawn[k], rng.random(NOISE)), len(vectors) - 1)
-            these, others, log_kp = vectors.take(own, 0), vectors.take(noise, 0), self.logs[k]
-            true = _sigmoid(np.einsum("nd,nd->n", h, these) - log_kp[own]) - 1
-            false = h @ others.T
-            false -= log_kp[noise]
-            false = _sigmoid(false)
+        rows, wide = goal.shape
+        n = int(goal.sum())
+        vectors = self.seen.take(stretches, 0).reshape(rows, -1)
+        shifted = [slice(WIDTH * (CONTEXT - k), WIDTH * (CONTEXT - k + wide)) for k in range(1, CONTEXT + 1)]
+        seen = [vectors[:, x] for x in shifted]
+        h = self.hidden(seen)
+        idle = np.flatnonzero(~goal)
+        h[idle] = 0  # then their gradients are 0
+        targets = stretches[:, CONTEXT:].ravel()
+        gh, grads = np.zeros((len(h), WIDTH), np.float32), []
+        for k, own, table in ((0, self.class_of[targets], self.classes), (1, targets, self.words)):
+            noise = np.minimum(np.searchsorted(self.drawn[k], rng.random(NOISE)), len(table) - 1)
+            these, others, log_kp = table.take(own, 0), table.take(noise, 0), self.logs[k]
+            true = np.einsum("nd,nd->n", h, these)
+            true = -_sigmoid_of_negative(true - log_kp[own])  # the probability of noise, negative
+            against = -others
+            against[:, -1] += log_kp[noise]
+            false = _sigmoid_of_negative(h @ against.T)
             gh += true[:, None] * these[:, :-1]
             gh += false @ others[:, :-1]
             grads.append(_scatter(np.concatenate([own, noise]), np.concatenate([true[:, None] * h, (h.T @ false).T])))
-        grads = [_scatter(contexts.ravel(), (gh * self.mix[:, None]).reshape(-1, WIDTH)), *grads]
-        g_mix = np.stack([np.einsum("nd,nd->d", gh, seen[k]) for k in range(CONTEXT)])
-        for p, (rows, g), sq in zip(self.parameters(), (*grads, (np.arange(CONTEXT), g_mix)), self.squares):
+        gh[idle] = 0
+        gh, mix = gh.reshape(rows, -1), np.tile(self.mix, wide)
+        back = np.zeros_like(vectors)
+        for k in range(CONTEXT):
+            back[:, shifted[k]] += gh * mix[k]
+        grads = [_scatter(stretches.ravel(), back.reshape(-1, WIDTH)), *grads]
+        g_mix = np.stack([(gh * seen[k]).sum(0).reshape(wide, WIDTH).sum(0) for k in range(CONTEXT)])
+        for p, (at, g), sq in zip(self.parameters(), (*grads, (np.arange(CONTEXT), g_mix)), self.squares):
             g /= n
-            new = sq.take(rows, 0)
+            new = sq.take(at, 0)
             new += g * g
-            _put(sq, rows, new)
+            _put(sq, at, new)
             np.sqrt(new, out=new)
             new += 1e-7
             g *= rate
             g /= new
-            _put(p, rows, p.take(rows, 0) - g)
+            _put(p, at, p.take(at, 0) - g)
 
 
 def _log_share(scores: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
@@ -323,30 +351,40 @@ def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[starts], np.add.reduceat(values.take(order, 0), starts)
 
 
+def laid(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(stream of the documents' outcomes, which of them are predicted): each document is preceded by CONTEXT ends and ended by one, which two neighbours share."""
+    parts = [np.zeros(CONTEXT, np.uint16)]
+    rest = np.zeros(CONTEXT, np.uint16)
+    for d in documents:
+        parts += [d, rest]
+    lengths = np.full((len(documents), 2), CONTEXT - 1)
+    lengths[:, 0] = [len(d) + 1 for d in documents]
+    goal = np.repeat(np.arange(2 * len(documents)) % 2 == 0, lengths.ravel())
+    return np.concatenate(parts), np.r_[np.zeros(CONTEXT, bool), goal]
+
+
 def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(contexts CONTEXT x n, targets n) of documents of outcomes; each is preceded and ended by the end."""
-    parts = []
-    for d in documents:
-        parts += [np.zeros(CONTEXT, np.uint16), d, np.zeros(1, np.uint16)]
-    stream = np.concatenate(parts)
-    lengths = np.array([len(d) + 1 for d in documents])
-    first = np.cumsum(lengths + CONTEXT) - lengths
-    at = np.repeat(first - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+    stream, goal = laid(documents)
+    at = np.flatnonzero(goal)
     return np.stack([stream[at - k] for k in range(1, CONTEXT + 1)]), stream[at]
 
 
 def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int, rate: float = RATE) -> int:
-    """One pass over a stream of documents of outcomes; the number of tokens."""
+    """One pass over a stream of documents of outcomes, in stretches of neighbours dealt at random to batches; the number of tokens."""
     rng = np.random.default_rng(seed)
     held: list[np.ndarray] = []
     total = waiting = 0
+    places = np.arange(CONTEXT + STRETCH)
 
     def learn() -> None:
-        contexts, targets = windows(held)
-        order = rng.permutation(len(targets))
-        for k in range(0, len(order), BATCH):
-            ids = order[k : k + BATCH]
-            model.update(contexts.take(ids, 1), targets.take(ids), rng, rate)
+        stream, goal = laid(held)
+        starts = STRETCH * rng.permutation(-(-(len(stream) - 2 * CONTEXT + 1) // STRETCH))  # the last CONTEXT - 1 are not predicted
+        more = max(0, CONTEXT + STRETCH * len(starts) - len(stream))
+        stream, goal = np.pad(stream, (0, more)), np.pad(goal, (0, more))
+        for k in range(0, len(starts), max(1, BATCH // STRETCH)):
+            at = starts[k : k + max(1, BATCH // STRETCH), None] + places
+            model.update(stream[at], goal[at[:, CONTEXT:]], rng, rate)
 
     for d in documents:
         held.append(d)
@@ -360,6 +398,15 @@ def train_stream(model: LogBilinear, documents: Iterator[np.ndarray], seed: int,
     return total
 
 
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of stretches of these lengths, which may be 0."""
+    out = np.zeros(len(lengths), values.dtype)
+    some = lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some])
+    return out
+
+
 def numbered(df: DataFrame, words, learns: str, id_col: str, text_col: str) -> DataFrame:
     """Rows of two kinds: a document's outcomes and what its listed words give; and its words that are not listed.
 
@@ -373,38 +420,47 @@ def numbered(df: DataFrame, words, learns: str, id_col: str, text_col: str) -> D
         own: Vocabulary = words.value
         base_all = math.log10(max(1, own.tokens + own.types + 1))
         log_counts, shares = np.log10(own.counts + 1.0), own.shares()
-        row = TaskContext.get().partitionId() << 40
+        at_row = TaskContext.get().partitionId() << 40
         find = own.listed.__getitem__
         class_of = own.listed_class
         for batch in batches:
-            columns: list[list] = [[] for _ in kinds]
-            rare: list[tuple] = []
-            for text, learned, mark in zip(batch.column(1), batch.column(2), batch.column(3)):
-                d = tokens_of(text.as_py())
-                places = np.fromiter(map(find, d), np.int64, len(d))
-                ids = places + 1
-                listed_only = places >= own.own
-                there = places[listed_only]
-                ids[listed_only] = 1 + own.own + class_of[there]
-                within = (log_counts[there] - shares[class_of[there]]).sum()
-                odd = np.flatnonzero(places < 0).tolist()
-                if odd:
-                    unlisted = Counter(d[k] for k in odd)
-                    classes = {w: own.rare_class(w) for w in unlisted}
-                    ids[odd] = [1 + own.own + classes[d[k]] for k in odd]
-                    rare += [(row, w, classes[w], m) for w, m in unlisted.items()]
-                known = places[places >= 0]
-                n = len(d) + 1
-                base = log_counts[known].sum() + math.log10(own.end + 1) - n * base_all
-                for c, v in zip(columns, (learned.as_py(), mark.as_py(), row, ids.astype("<u2").tobytes(), n, len(known) + (own.end > 0), float(base), float(within), None, None, None)):
-                    c.append(v)
-                row += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
-            if rare:
-                rows, spelling, classes, m = zip(*rare)
-                none = [None] * len(rare)
-                values = (none, none, rows, none, none, none, none, none, spelling, classes, m)
-                yield pa.RecordBatch.from_arrays([pa.array(none, batch.column(0).type), *(pa.array(c, t) for c, t in zip(values, kinds))], names)
+            if not batch.num_rows:
+                continue
+            words_of = [tokens_of(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+            lengths = np.array([len(d) for d in words_of])
+            ends = np.cumsum(lengths)
+            rows = np.arange(at_row, at_row + len(lengths))
+            at_row += len(lengths)
+            d = list(chain.from_iterable(words_of))
+            places = np.fromiter(map(find, d), np.int64, len(d))
+            ids = places + 1
+            listed_only = np.flatnonzero(places >= own.own)
+            there = places[listed_only]
+            ids[listed_only] = 1 + own.own + class_of[there]
+            odd = np.flatnonzero(places < 0)
+            spelt = [d[k] for k in odd.tolist()]
+            number = {w: k for k, w in enumerate(dict.fromkeys(spelt))}
+            spelling, which = list(number), np.fromiter(map(number.__getitem__, spelt), np.int64, len(spelt))
+            rare_class = np.fromiter(map(own.rare_class, spelling), np.int64, len(spelling))
+            ids[odd] = 1 + own.own + rare_class[which]
+            known = np.zeros(len(places))
+            known[places >= 0] = log_counts[places[places >= 0]]
+            within = np.zeros(len(places))
+            within[listed_only] = log_counts[there] - shares[class_of[there]]
+            n = lengths + 1
+            base = _sums(known, lengths) + math.log10(own.end + 1) - n * base_all
+            packed = ids.astype("<u2").tobytes()
+            held = [packed[2 * (e - k) : 2 * e] for e, k in zip(ends.tolist(), lengths.tolist())]
+            n_known = _sums((places >= 0).astype(np.int64), lengths) + (own.end > 0)
+            values = (batch.column(2), batch.column(3), rows, held, n, n_known, base, _sums(within, lengths), *[pa.nulls(len(n), t) for t in kinds[-3:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(values, kinds))], names)
+            if len(odd):
+                pairs, m = np.unique(np.repeat(np.arange(len(n)), lengths)[odd] * len(spelling) + which, return_counts=True)
+                of, which = np.divmod(pairs, len(spelling))
+                none = [pa.nulls(len(m), t) for t in kinds[:8]]
+                none[2] = pa.array(rows[of])
+                rare = (pa.array(spelling, pa.binary()).take(pa.array(which)), pa.array(rare_class[which], pa.int32()), pa.array(m, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(m), batch.column(0).type), *none, *rare], names)
 
     mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     schema = f"{id_col} {kind}, _learns boolean, _mark bigint, _row bigint, _ids binary, n_tokens bigint, n_known bigint, base_score double, score double, _word binary, _class int, _n bigint"
@@ -474,8 +530,7 @@ def scored(documents: DataFrame, words, parameters, id_col: str) -> DataFrame:
             at = 0
             while at < len(ids):  # documents of SCORED tokens together
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORED, "right")))
-                contexts, targets = windows(ids[at:to])
-                logs = model.log_probabilities(contexts, targets).astype(np.float64) / math.log(10)
+                logs = model.log_probabilities_of(ids[at:to]).astype(np.float64) / math.log(10)
                 got[at:to] = np.add.reduceat(logs, np.r_[0, ends[at : to - 1] - (ends[at - 1] if at else 0)])
                 at = to
             columns = [batch.column(c) for c in kept[:-1]]

@@ -166,3 +166,55 @@ def test_scores_of_a_rare_large_bias_need_no_maximum(monkeypatch):
     assert np.allclose(total, 1, atol=1e-4) and all(seen)
     model.words[3, :-1] = 1e4
     assert np.isfinite(model.log_probabilities(contexts, np.full(200, 2))).all() and not all(seen)
+
+
+def test_stretches_hold_every_window_once(monkeypatch):
+    """Training deals stretches of neighbours, scoring reads the stream in pieces; both see the windows of every document."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 60, n).astype(np.uint16) for n in (0, 1, 2, 300, 0, 0, 63, 64, 5, 0)]
+    contexts, targets = lm.windows(docs)
+    model = small_model()
+    want = model.log_probabilities(contexts, targets)
+    for step in (7, 64, 1 << 16):
+        assert np.allclose(model.log_probabilities_of(docs, step), want, atol=1e-5)
+    met, whole = [], model.update
+
+    def update(stretches, goal, *rest):
+        assert len(goal) * goal.shape[1] <= 128 and goal.any(1).all()
+        for row, here in zip(stretches, goal):
+            met.extend(tuple(row[k : k + lm.CONTEXT + 1].tolist()) for k in np.flatnonzero(here))
+        whole(stretches, goal, *rest)
+
+    monkeypatch.setattr(lm, "BATCH", 128)
+    monkeypatch.setattr(model, "update", update)
+    assert lm.train_stream(model, iter(docs), 1) == len(targets)
+    assert Counter(met) == Counter(zip(*(c.tolist() for c in contexts[::-1]), targets.tolist()))
+    assert all(np.isfinite(p).all() for p in model.parameters())
+
+
+def test_gradients_reach_all_vectors():
+    """A step of the batch form equals one that goes from target to target."""
+    docs = [np.array([3, 9, 30, 3], np.uint16), np.array([9], np.uint16)]
+    stream, goal = lm.laid(docs)
+    stretches, goal = stream[None, : len(stream) - lm.CONTEXT + 1], goal[None, lm.CONTEXT : len(stream) - lm.CONTEXT + 1]
+    model, plain = small_model(), small_model()
+    model.update(stretches, goal, np.random.default_rng(1), 0.1)
+    rng, (contexts, targets) = np.random.default_rng(1), lm.windows(docs)
+    grads = [np.zeros(p.shape) for p in plain.parameters()]
+    draws = [np.minimum(np.searchsorted(plain.drawn[k], rng.random(lm.NOISE)), len(v) - 1) for k, v in ((0, plain.classes), (1, plain.words))]
+    for t, context in zip(targets, contexts.T):
+        h = np.r_[sum(plain.seen[o] * plain.mix[k] for k, o in enumerate(context)), 1]
+        gh = np.zeros(lm.WIDTH)
+        for k, (own, v) in enumerate(((plain.class_of[t], plain.classes), (t, plain.words))):
+            for o, label in [(own, 1), *((x, 0) for x in draws[k])]:
+                g = 1 / (1 + math.exp(-(h @ v[o] - plain.logs[k][o]))) - label
+                grads[1 + k][o] += g * h
+                gh += g * v[o, :-1]
+        for k, o in enumerate(context):
+            grads[0][o] += gh * plain.mix[k]
+            grads[3][k] += gh * plain.seen[o]
+    for p, q, g in zip(model.parameters(), plain.parameters(), grads):
+        g /= len(targets)
+        assert np.allclose(p, q - 0.1 * g / (np.abs(g) + 1e-7), atol=2e-3)
+    for sq, g in zip(model.squares, grads):
+        assert np.allclose(np.sqrt(sq), np.abs(g), rtol=1e-3, atol=1e-6)
