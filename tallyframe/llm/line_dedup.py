@@ -36,6 +36,7 @@ extra columns stay as they are, whatever their names, but one named
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -62,6 +63,8 @@ SHORT = 12
 LENGTH, FACTOR, ANY = 2800, 626, 65535
 #: Bytes of lines that are signed at once, and whose blocks are dealt out together.
 SIGNED, DEALT = 1 << 19, 1 << 22
+#: Hashes whose bits are counted together.
+COUNTED = 8192
 #: Lines of one block that a reading task gathers itself; members that are compared at once with those after them.
 GATHERED, LAGS = 8, 64
 #: Input bytes for a part, and the most parts.
@@ -119,7 +122,13 @@ def bit_counts(value: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nd
     pieces = -(-count // 255)
     line = np.cumsum(pieces) - pieces
     start = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(line, pieces))
-    sums = np.add.reduceat(_SPREAD[value.view(np.uint8).reshape(-1, 8)], start, axis=0).view(np.uint8)
+    octets = value.view(np.uint8).reshape(-1, 8)
+    cuts = np.unique(np.r_[np.searchsorted(start, np.arange(0, len(value), COUNTED)), len(start)]).tolist()
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):  # at most COUNTED hashes and a piece, whose counters stay in the cache
+        own = octets[start[a] : start[b] if b < len(start) else None]
+        parts.append(np.add.reduceat(_SPREAD[own], start[a:b] - start[a], axis=0))
+    sums = np.concatenate(parts).view(np.uint8)
     return np.add.reduceat(sums, line, axis=0, dtype=np.int32)
 
 
@@ -128,15 +137,15 @@ def signatures(lines: list[bytes], n: int, every: bool) -> tuple[np.ndarray, np.
     value, first = grams(lines, n, every)
     count = np.diff(np.r_[first, len(value)])
     sims = np.packbits(2 * bit_counts(value, first, count) > count[:, None], axis=1).view(np.uint64).ravel()
-    keys = np.empty((len(lines), BANDS), np.uint64)
     stretch = (first[:, None] + count[:, None] * np.arange(ROWS) // ROWS).ravel()
+    least, scaled = np.empty((BANDS, len(lines), ROWS), np.uint64), np.empty_like(value)
     for b in range(BANDS):
-        least = np.minimum.reduceat(value * _FACTORS[b], stretch).reshape(-1, ROWS)
-        key = np.full(len(lines), np.uint64(1000 * n + b))
-        for r in range(ROWS):
-            key = mix(key * ODD + least[:, r])
-        keys[:, b] = key
-    return sims, keys
+        np.multiply(value, _FACTORS[b], out=scaled)
+        np.minimum.reduceat(scaled, stretch, out=least[b].reshape(-1))
+    keys = np.arange(1000 * n, 1000 * n + BANDS, dtype=np.uint64)[:, None]
+    for r in range(ROWS):
+        keys = mix(keys * ODD + least[:, :, r])
+    return sims, np.ascontiguousarray(keys.T)
 
 
 def blocks(lines: list[bytes], nodes: list[int], parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +228,7 @@ def dealt(docs: DataFrame, parts: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             part, rows = (np.concatenate(x) for x in zip(*held))
             g = (part << np.uint64(32) | rows["key"]).view(np.int64)
-            order = np.argsort(g, kind="stable")
+            order = np.argsort(g)
             part, rows, g = part[order], rows[order], g[order]
             start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             count = np.diff(np.r_[start, len(g)])
@@ -276,7 +285,7 @@ def met(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(g: np.ndarray, rows: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
             """more: rows of groups that go on in another task."""
-            order = np.argsort(g, kind="stable")
+            order = np.argsort(g)
             alone = g[order]
             alone = np.r_[True, alone[1:] != alone[:-1]] & np.r_[alone[1:] != alone[:-1], True] if len(g) else np.zeros(0, bool)
             order = order[~alone | more[order]]
@@ -508,6 +517,8 @@ def within(left: list[str], right: list[str], most: np.ndarray) -> tuple[np.ndar
 
 #: Characters from which lines are first compared for few edits, and how many.
 LONG, FEW = 2000, 64
+#: Characters from which lines are first compared word by word, and the bits of that table.
+WORDY, SEQUENCE = 128, 1 << 24
 
 
 def allowed(a: str, b: str) -> int:
@@ -520,6 +531,41 @@ def aligned(a: str, b: str, most: int) -> bool:
     return len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most
 
 
+def replaced(a: str, b: str, most: int) -> bool:
+    """Whether so many edits turn what lies between the words of a longest common sequence into each other, a stretch at a time."""
+    x, y = a.split(" "), b.split(" ")
+    if len(x) * len(y) > SEQUENCE:
+        return False
+    places: dict[str, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    row, rows = (1 << len(x)) - 1, []
+    for w in y:  # a zero where the sequence grows
+        here = row & places.get(w, 0)
+        row = row + here | row - here
+        rows.append(row)
+    i, j, edits, left, right = len(x), len(y), 0, 0, 0  # left, right: characters since the last common word, a blank for each word
+
+    def stretch() -> int:
+        return max(left, right) - (left > 0 < right)
+
+    while i and j and edits <= most:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            left += len(x[i]) + 1
+            continue
+        j -= 1
+        if j and not rows[j - 1] >> (i - 1) & 1:
+            right += len(y[j]) + 1
+            continue
+        i -= 1
+        edits += stretch()
+        left = right = 0
+    left += sum(map(len, x[:i])) + i
+    right += sum(map(len, y[:j])) + j
+    return edits + stretch() <= most
+
+
 def similar(a: str, b: str) -> bool:
     most = allowed(a, b)
     if abs(len(a) - len(b)) > most:
@@ -530,14 +576,14 @@ def similar(a: str, b: str) -> bool:
 
 
 def all_similar(left: list[str], right: list[str]) -> np.ndarray:
-    """similar() of every pair; most pairs are settled by their words' places or together with others of their length."""
+    """similar() of every pair; most pairs are settled by their words, or together with others of their length."""
     out = np.zeros(len(left), bool)
     open_pairs: list[tuple[int, int, str, str, int]] = []
     for k, (a, b) in enumerate(zip(left, right)):
         most = allowed(a, b)
         if abs(len(a) - len(b)) > most:
             continue
-        if aligned(a, b, most):
+        if aligned(a, b, most) or max(len(a), len(b)) > WORDY and replaced(a, b, most):
             out[k] = True
             continue
         if max(len(a), len(b)) > 64 * TOGETHER:
@@ -554,7 +600,8 @@ def all_similar(left: list[str], right: list[str]) -> np.ndarray:
     open_pairs.sort()
     while open_pairs:
         words = -(-open_pairs[-1][0] // 64)
-        count = max(1, TABLES // (128 * 8 * words))
+        longer = len(open_pairs) - bisect_left(open_pairs, (open_pairs[-1][0] // 2,))
+        count = max(1, min(longer, TABLES // (128 * 8 * words)))
         now, open_pairs = open_pairs[-count:], open_pairs[:-count]
         _, at, a, b, most = zip(*now)
         found, exact = within(list(a), list(b), np.array(most))

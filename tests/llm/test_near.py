@@ -314,3 +314,39 @@ def test_lines_of_one_edit_meet(spark):
     got = {r.doc_id for r in line_dedup.drop_repeated_lines(df).collect() if r.removed_lines}
     assert 2001 in got and got <= {*range(1000, 1000 + pairs), 2001}
     assert len(got) >= 0.97 * pairs
+
+
+def test_changed_words_are_settled_by_words(monkeypatch):
+    """Words inserted, dropped and moved in a line are no work for the character tables; what is settled by words is similar."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcdeö") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    pairs = []
+    for _ in range(300):
+        x = [rng.choice(pool) for _ in range(rng.randrange(1, 60))]
+        y = list(x)
+        for _ in range(rng.randrange(0, 1 + len(x) // 3)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.choice((0, 1, 1))] = [rng.choice(pool)] * rng.choice((0, 1, 1))
+        pairs.append((" ".join(x), " ".join(y)))
+    for a, b in [*pairs, ("", "abc"), ("abc", ""), ("", ""), ("a b", "b a"), ("a", "a b c")]:
+        d = line_dedup.edit_distance(a, b)
+        assert not line_dedup.replaced(a, b, d - 1) and line_dedup.replaced(a, b, len(a) + len(b) + 1)
+        assert line_dedup.replaced(a, a, 0)
+    assert not line_dedup.replaced("the end", "end", 3) and line_dedup.replaced("the end", "end", 4) and line_dedup.replaced("x the y", "x abcde y", 5)
+    long = [rng.choice(pool) for _ in range(80)]
+    moved = " ".join([*long[:10], *long[11:30], long[10], *long[30:60], "new", *long[60:]])
+    left, right = zip(*pairs)
+    want = [line_dedup.edit_distance(a, b) <= line_dedup.allowed(a, b) for a, b in pairs]
+    assert line_dedup.all_similar(list(left), list(right)).tolist() == want
+    monkeypatch.setattr(line_dedup, "within", lambda *a: pytest.fail("compared by characters"))
+    assert line_dedup.all_similar([" ".join(long)], [moved]).tolist() == [True]
+
+
+def test_bits_are_counted_in_parts(monkeypatch):
+    value = np.random.default_rng(6).integers(0, 1 << 63, 2000, dtype=np.uint64)
+    first = np.array([0, 1, 2, 700, 701, 990, 1999])
+    count = np.diff(np.r_[first, len(value)])
+    whole = line_dedup.bit_counts(value, first, count)
+    for size in (1, 100, 255, 1000):
+        monkeypatch.setattr(line_dedup, "COUNTED", size)
+        assert (line_dedup.bit_counts(value, first, count) == whole).all()
